@@ -126,11 +126,12 @@ def sliding_extreme(values: np.ndarray, width: int, largest: bool = False) -> np
     return f(right[: n - width + 1], left[width - 1 : n])
 
 
-def window_minima(values: np.ndarray, width: int, owner: np.ndarray) -> np.ndarray:
-    """Positions that hold the least value of some window of ``width`` positions of one owner (sorted ids)."""
+def window_minima(values: np.ndarray, width: int, whole: np.ndarray) -> np.ndarray:
+    """Positions that hold the least value of some window of ``width`` positions; ``whole`` tells the windows that count, by start."""
     least = sliding_extreme(values, width)
     if not len(least):
         return np.zeros(0, dtype=np.int64)
-    least = np.where(owner[: len(least)] == owner[width - 1 :], least, _U(0))
-    reach = np.concatenate([np.zeros(width - 1, dtype=np.uint64), least, np.zeros(width - 1, dtype=np.uint64)])
-    return np.flatnonzero((sliding_extreme(reach, width, largest=True) == values) & (values != 0))
+    least = np.where(whole[: len(least)], least, _U(0))
+    edge = np.zeros(width - 1, dtype=np.uint64)
+    reach = sliding_extreme(np.concatenate([edge, least, edge]), width, largest=True)
+    return np.flatnonzero((reach == values) & (values != 0))
