@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,33 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where none is named, as in local tests."""
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a written table in the shared folder: columnar and compressed, for many narrow rows."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+BUCKETS = 1 << 18
+
+
+def likely(df: DataFrame, ids: DataFrame, key: str, inverse: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of df whose key may be among ids: a filter by hash bucket, ahead of an exact join.
+
+    The bucket table has at most ``buckets`` rows, so it is broadcast at any size
+    of ids; when it is full it filters nothing and the exact join still holds.
+    ``inverse`` gives the other rows: those whose key is certainly not among ids.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(buckets)).cast("int")
+    some = ids.select(bucket.alias("__bucket")).distinct()
+    return df.withColumn("__own", bucket).join(F.broadcast(some), F.col("__own") == F.col("__bucket"), "left_anti" if inverse else "left_semi").drop("__own")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

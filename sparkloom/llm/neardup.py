@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, likely, materialised, table
 from .graph import components
 from .textkit import chunks, mix64, shingle_hashes, word_hashes
 
@@ -147,8 +147,8 @@ def candidate_links(unique: DataFrame) -> DataFrame:
 def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with text_a and text_b. Texts are cut down to those of the pairs once, then joined."""
     ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("v"), "text").join(ends, "v", "left_semi")
-    texts = checkpointed(texts)
+    texts = likely(docs.select(F.col("doc_id").cast("long").alias("v"), "text"), ends, "v").join(ends, "v", "left_semi")
+    texts = materialised(texts)
     left = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
     return left.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
 

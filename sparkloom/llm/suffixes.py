@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import likely, materialised, table, text_or_empty
 from .textkit import mix64, powers, prefix_hashes, window_minima
 
 LENGTH, GRAM = 200, 64
@@ -165,10 +165,14 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("row", F.xxhash64("doc_id", "text")).select("row", "text", "doc_id")
     need = length - gram
     found = anchor_rows(texts.select("row", "text"), length, gram)
-    kinds = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("at"))
-    whole = found.join(kinds.filter("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("row", F.greatest(F.col("place") - need, F.lit(0)).alias("first"), (F.col("place") + length).alias("stop"))
+    # nearly all grams stand alone: they are dropped before anything else is shuffled
+    again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    live = materialised(found.join(again, "gram", "left_semi"))
+    kinds = live.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("at"))
+    whole = live.join(kinds.filter("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("row", F.greatest(F.col("place") - need, F.lit(0)).alias("first"), (F.col("place") + length).alias("stop"))
     several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
     asked = kinds.join(several, "gram").select("at.row", F.struct("at.place", "gram", "n", (F.col("kinds") > hot).alias("hot")).alias("ask")).groupBy("row").agg(F.collect_list("ask").alias("asks"))
+    asked = materialised(asked)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -190,7 +194,11 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     context = "gram long, left binary, right binary, row long, place int, n long, windows array<long>"
     unique_texts = texts.select("row", "text")
-    gathered = unique_texts.join(asked, "row").mapInPandas(contexts, context)
+
+    def gathered(which: str) -> DataFrame:
+        asks = asked.withColumn("asks", F.expr(f"filter(asks, a -> {which})")).filter("size(asks) > 0")
+        return likely(unique_texts, asks, "row").join(asks, "row").mapInPandas(contexts, context)
+
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -214,19 +222,19 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         if held:
             yield solve(pd.concat(held, ignore_index=True))
 
-    plain = gathered.filter("windows is null").select("gram", "left", "right", "row", "place", "n")
+    plain = gathered("not a.hot").select("gram", "left", "right", "row", "place", "n")
     edges = plain.repartition("gram").sortWithinPartitions("gram").mapInPandas(scan, "row long, first int, stop int")
-    strings = gathered.filter("windows is not null").select("row", "place", "n", F.posexplode("windows").alias("i", "hash"))
+    strings = gathered("a.hot").select("row", "place", "n", F.posexplode("windows").alias("i", "hash"))
     twice = strings.groupBy("hash").agg(F.sum("n").alias("total")).filter("total > 1").select("hash")
     start = F.greatest(F.col("place") - need, F.lit(0)) + F.col("i")
     counted = strings.filter("n = 1").join(twice, "hash", "left_semi").groupBy("row", "place").agg(F.min(start).alias("first"), (F.max(start) + length).alias("stop")).select("row", "first", "stop")
-    return texts, whole.unionByName(edges).unionByName(counted)
+    return texts, materialised(whole.unionByName(edges).unionByName(counted))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, removed (array of first, stop), kept (bytes that remain)."""
     texts, parts = repeated_parts(docs, length, gram, hot)
-    lists = parts.groupBy("row").agg(F.collect_set(F.struct("first", "stop")).alias("parts"))
+    lists = materialised(parts.groupBy("row").agg(F.collect_set(F.struct("first", "stop")).alias("parts")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -249,7 +257,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             yield frame
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<first:int,stop:int>>, kept_sha256 string, kept binary"
-    return texts.join(lists, "row", "left").select("doc_id", "text", "parts").mapInPandas(run, schema)
+    touched = likely(texts, lists, "row").join(lists, "row", "left").select("doc_id", "text", "parts")
+    clean = likely(texts, lists, "row", inverse=True).select("doc_id", "text", F.lit(None).cast(lists.schema["parts"].dataType).alias("parts"))
+    return touched.unionByName(clean).mapInPandas(run, schema)
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
