@@ -1,0 +1,52 @@
+"""Queries over code, on a fixture of our own: the documents hold none."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.sandbox import code_shape, command_risk, extracted_functions, passes
+
+SOURCES = (
+    (1, "def double(x):\n    return x * 2\n", "assert double(3) == 6"),
+    (2, "def twice(value):\n    '''Twice the value.'''\n    return value * 2\n", "assert twice(0) == 0"),
+    (3, "def half(x):\n    return x // 3\n", "assert half(4) == 2"),
+    (4, "def broken(x:\n    return x\n", "assert True"),
+    (5, "def forever(x):\n    while True:\n        pass\n", "assert forever(1) is None"),
+)
+COMMANDS = (("ls -l",), ("rm -rf /",), ("git push origin",), ("cat a > b",), ("echo ok",))
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SOURCES), "id int, code string, tests string")
+
+
+def udf_run_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sources(spark).select("id", passes(F.col("code"), F.col("tests")).alias("passed"))
+
+
+def udf_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sources(spark).select("id", code_shape(F.col("code")).alias("shape"))
+
+
+def udf_extract_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sources(spark).select("id", F.inline(extracted_functions(F.col("code"))))
+
+
+def udf_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions whose shape equals that of a held-out one (id 1)."""
+    shapes = _sources(spark).select("id", code_shape(F.col("code")).alias("shape"))
+    held = shapes.filter("id = 1").select("shape", F.col("id").alias("item"))
+    return shapes.filter("id <> 1").join(held, "shape").select("id", "item")
+
+
+def command_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(COMMANDS), "command string").select("command", command_risk(F.col("command")).alias("level"))
+
+
+QUERIES = {f.__name__: f for f in (udf_run_tests, udf_skeleton, udf_extract_functions, udf_leaks, command_levels)}
+ORACLE_SQL = {
+    "udf_run_tests": "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, false)) t(id, passed)",
+    "udf_leaks": "SELECT 2 AS id, 1 AS item",
+    "command_levels": "SELECT * FROM (VALUES ('ls -l', 'safe'), ('rm -rf /', 'blocked'), ('git push origin', 'ask'), ('cat a > b', 'ask'), ('echo ok', 'safe')) t(command, level)",
+}

@@ -1,10 +1,11 @@
-"""Corpus queries: scanning, filtering and exact de-duplication."""
+"""Corpus queries: scanning, filtering, exact de-duplication and search."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import LICENSE, chunks, glob_pattern, lines, mean_line_length, without_license
 from ..operators.dedup import keep_first
 from ..sources.tables import table
 
@@ -14,5 +15,86 @@ def corpus_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_first(docs, ["text_sha1"], "doc_id")
 
 
-QUERIES = {"corpus_exact_dedup": corpus_exact_dedup}
-ORACLE_SQL = {"corpus_exact_dedup": "SELECT min(doc_id) AS doc_id, sha1(text) AS text_sha1 FROM documents GROUP BY sha1(text)"}
+def corpus_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("mean_len", F.round(mean_line_length(F.col("text")), 4))
+    return docs.filter((F.octet_length("text") <= 500_000) & (F.trim("text") != "") & (F.col("mean_len") <= 200)).select("doc_id", "mean_len")
+
+
+def strip_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headed = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# Copyright 2020 A\n# License: B\n#\n\n"), F.col("text"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(without_license(headed)).alias("text_md5"))
+
+
+def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.size(F.filter(lines(F.col("text")), lambda x: x.rlike(LICENSE))).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("n_lines")).filter("n_lines > 0")
+
+
+def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(chunks(F.col("text"))).cast("long").alias("n_chunks"))
+
+
+def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the first merge's character pairs, over distinct chunks times their counts; the top 100."""
+    counted = table(spark, sf_dir, "documents").select(F.explode(chunks(F.col("text"))).alias("chunk")).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.length("chunk") > 1)
+    at = F.explode(F.sequence(F.lit(1), F.length("chunk") - 1))
+    pairs = counted.select("n", "chunk", at.alias("i")).select("n", F.expr("substring(chunk, i, 2)").alias("pair"))
+    return pairs.groupBy("pair").agg(F.sum("n").cast("long").alias("n")).orderBy(F.desc("n"), "pair").limit(100)
+
+
+def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash of the table's content, whatever its order: hashes of blocks of ids, then a hash of those in order."""
+    rows = table(spark, sf_dir, "documents").select(F.shiftright("doc_id", 10).alias("block"), "doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), 256).alias("h"))
+    blocks = rows.groupBy("block").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
+    return blocks.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), "\n"), 256).alias("content_sha256"))
+
+
+def regex_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike("(?i)license"))
+    hits = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).filter(F.col("content").rlike("(?i)license"))
+    return hits.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), F.left("content", F.lit(200)).alias("content"))
+
+
+def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").filter(F.col("url").rlike(glob_pattern("*1*"))).select("page_id", "url")
+
+
+def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of the pages' addresses to depth three, with their pages."""
+    parts = F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/", -1)
+    depths = table(spark, sf_dir, "pages").select(parts.alias("p"), F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.size(parts)))).alias("depth"))
+    return depths.select(F.array_join(F.slice("p", 1, F.col("depth")), "/").alias("path"), F.col("depth").cast("long").alias("depth")).groupBy("path", "depth").agg(F.count(F.lit(1)).alias("pages"))
+
+
+MUTATIONS = (("the", "teh"), ("and", "nad"), (",", ";"), (".", "!"))
+
+
+def text_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of the benchmark texts with each mutation that applies, as a count per item and mutation."""
+    changes = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in MUTATIONS])
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).select("item_id", "line", "content", F.inline(changes))
+    rows = rows.filter(F.expr("contains(content, old)"))
+    return rows.select("item_id", F.col("line").cast("long").alias("line"), "old", F.md5(F.expr("replace(content, old, new)")).alias("mutated_md5"))
+
+
+QUERIES = {f.__name__: f for f in (corpus_exact_dedup, corpus_quality_filter, strip_license, license_lines, chunk_counts, bpe_pair_counts, content_fingerprint, regex_search, glob_filter, tree_listing, text_mutations)}
+_CHUNK_SQL = r"\r?\n[ \t]*| ?[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z_\x{80}-\x{10FFFF}]*| ?[0-9]{1,3}| ?[^A-Za-z0-9_\s\x{80}-\x{10FFFF}]+|[ \t]+|\s"
+_LINES = "string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10))"
+ORACLE_SQL = {
+    "corpus_exact_dedup": "SELECT min(doc_id) AS doc_id, sha1(text) AS text_sha1 FROM documents GROUP BY sha1(text)",
+    "corpus_quality_filter": f"""WITH l AS (SELECT doc_id, text, {_LINES} AS a FROM documents), m AS (SELECT doc_id, text, round(list_sum(list_transform(a, lambda x: length(x)))::DOUBLE / len(a), 4) AS mean_len FROM l)
+        SELECT doc_id, mean_len FROM m WHERE strlen(text) <= 500000 AND trim(text) <> '' AND mean_len <= 200""",
+    "strip_license": "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '^((#[^\\n]*|[ \\t]*)\\n)+', '') ELSE text END) AS text_md5 FROM documents",
+    "license_lines": f"SELECT doc_id, len(list_filter({_LINES}, lambda x: regexp_matches(x, '(?i)licen[sc]e|copyright|\\(c\\) \\d{{4}}')))::BIGINT AS n_lines FROM documents WHERE n_lines > 0",
+    "chunk_counts": f"SELECT doc_id, len(regexp_extract_all(text, '{_CHUNK_SQL}'))::BIGINT AS n_chunks FROM documents",
+    "bpe_pair_counts": f"""WITH c AS (SELECT unnest(regexp_extract_all(text, '{_CHUNK_SQL}')) AS chunk FROM documents), g AS (SELECT chunk, count(*) AS n FROM c WHERE length(chunk) > 1 GROUP BY chunk),
+        p AS (SELECT n, chunk, unnest(range(1, length(chunk))) AS i FROM g) SELECT substr(chunk, i, 2) AS pair, sum(n)::BIGINT AS n FROM p GROUP BY 1 ORDER BY n DESC, pair LIMIT 100""",
+    "content_fingerprint": """WITH b AS (SELECT doc_id >> 10 AS block, sha256(string_agg(sha256(doc_id || '|' || text), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1)
+        SELECT sha256(string_agg(h, chr(10) ORDER BY block)) AS content_sha256 FROM b""",
+    "regex_search": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), p AS (SELECT doc_id, unnest(a) AS content, unnest(range(1, len(a) + 1)) AS line FROM l)
+        SELECT doc_id, line::BIGINT AS line, left(content, 200) AS content FROM p WHERE regexp_matches(content, '(?i)license')""",
+    "glob_filter": "SELECT page_id, url FROM pages WHERE url LIKE '%1%'",
+    "tree_listing": """WITH p AS (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages), d AS (SELECT p, unnest(range(1, least(3, len(p)) + 1)) AS depth FROM p)
+        SELECT array_to_string(p[1:depth], '/') AS path, depth::BIGINT AS depth, count(*) AS pages FROM d GROUP BY 1, 2""",
+    "text_mutations": "WITH l AS (SELECT item_id, string_split(text, chr(10)) AS a FROM benchmark), p AS (SELECT item_id, unnest(a) AS content, unnest(range(0, len(a))) AS line FROM l), m(old, new) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in MUTATIONS) + ") SELECT item_id, line::BIGINT AS line, old, md5(replace(content, old, new)) AS mutated_md5 FROM p JOIN m ON contains(content, old)",
+}

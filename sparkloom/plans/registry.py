@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus
+from ..streaming import metrics
+from . import chat, code, corpus, mixture, scoring, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (corpus,):
+for module in (corpus, chat, mixture, scoring, sequences, code, metrics):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
