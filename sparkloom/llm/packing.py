@@ -6,7 +6,7 @@ the rest goes to the fill level that leaves the least sum of squared counts of
 partly filled windows. Counts by level are an array of ``window`` numbers, and
 open windows hang off their level, so memory is bounded by the open windows.
 When the partition ends, the windows still open are joined into as few as
-possible by cutting their pieces; the last one alone is padded.
+possible by cutting their pieces; what is padded is less than one window in all.
 
 A sequence id is (partition, number in the partition); a lost executor's
 partition is packed again in the same way from the same rows.

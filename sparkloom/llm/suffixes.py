@@ -224,10 +224,12 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     plain = gathered("not a.hot").select("gram", "left", "right", "row", "place", "n")
     edges = plain.repartition("gram").sortWithinPartitions("gram").mapInPandas(scan, "row long, first int, stop int")
-    strings = gathered("a.hot").select("row", "place", "n", F.posexplode("windows").alias("i", "hash"))
-    twice = strings.groupBy("hash").agg(F.sum("n").alias("total")).filter("total > 1").select("hash")
-    start = F.greatest(F.col("place") - need, F.lit(0)) + F.col("i")
-    counted = strings.filter("n = 1").join(twice, "hash", "left_semi").groupBy("row", "place").agg(F.min(start).alias("first"), (F.max(start) + length).alias("stop")).select("row", "first", "stop")
+    # a string is told apart by its gram and the gram's place in it too: two anchors of one string are no repeat of it
+    strings = gathered("a.hot").select("gram", "row", "place", "n", F.posexplode("windows").alias("i", "hash"))
+    strings = strings.withColumn("start", F.greatest(F.col("place") - need, F.lit(0)) + F.col("i")).withColumn("into", F.col("place") - F.col("start"))
+    same = ["gram", "into", "hash"]
+    twice = strings.groupBy(*same).agg(F.sum("n").alias("total")).filter("total > 1").select(*same)
+    counted = strings.filter("n = 1").join(twice, same, "left_semi").groupBy("row", "place").agg(F.min("start").alias("first"), (F.max("start") + length).alias("stop")).select("row", "first", "stop")
     return texts, materialised(whole.unionByName(edges).unionByName(counted))
 
 
