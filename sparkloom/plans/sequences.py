@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..operators.ordered import islands, top_per_group
 from ..sources.tables import table
 
-_ORDER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+def _order() -> WindowSpec:
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,26 +26,26 @@ def stuck_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", F.max("value").over(_ORDER.rowsBetween(Window.unboundedPreceding, 0)).alias("running_max"))
+    return _events(spark, sf_dir).select("event_id", F.max("value").over(_order().rowsBetween(Window.unboundedPreceding, 0)).alias("running_max"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events above all earlier ones of their user."""
-    before = F.max("value").over(_ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("value").over(_order().rowsBetween(Window.unboundedPreceding, -1))
     return _events(spark, sf_dir).withColumn("before", before).filter(F.col("before").isNull() | (F.col("value") > F.col("before"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("records"))
 
 
 def longest_rise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rise = _events(spark, sf_dir).withColumn("falls", F.when(F.col("value") > F.lag("value").over(_ORDER), 0).otherwise(1))
-    rise = rise.withColumn("island", F.sum("falls").over(_ORDER)).groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"))
+    rise = _events(spark, sf_dir).withColumn("falls", F.when(F.col("value") > F.lag("value").over(_order()), 0).otherwise(1))
+    rise = rise.withColumn("island", F.sum("falls").over(_order())).groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"))
     return rise.groupBy("user_id").agg(F.max("n").alias("longest_rise"))
 
 
 def best_run_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest sum of neighbouring changes, in whole cents: prefix sum less the least prefix before it."""
-    change = _events(spark, sf_dir).withColumn("d", F.round((F.col("value") - F.coalesce(F.lag("value").over(_ORDER), F.lit(0.0))) * 100).cast("long"))
-    prefix = change.withColumn("s", F.sum("d").over(_ORDER.rowsBetween(Window.unboundedPreceding, 0)))
-    least = F.least(F.lit(0), F.coalesce(F.min("s").over(_ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    change = _events(spark, sf_dir).withColumn("d", F.round((F.col("value") - F.coalesce(F.lag("value").over(_order()), F.lit(0.0))) * 100).cast("long"))
+    prefix = change.withColumn("s", F.sum("d").over(_order().rowsBetween(Window.unboundedPreceding, 0)))
+    least = F.least(F.lit(0), F.coalesce(F.min("s").over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return prefix.withColumn("best", F.col("s") - least).groupBy("user_id").agg(F.max("best").cast("long").alias("best_run_sum"))
 
 
