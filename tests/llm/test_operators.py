@@ -145,7 +145,7 @@ def test_viterbi_equals_a_plain_pass():
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(300, 16))
-    frame = pd.DataFrame({"vec_id": range(300), "embedding": list(vectors)})
+    frame = pd.DataFrame({"vec_id": range(300), "embedding": vectors.tolist()})
     extra = spark.createDataFrame([(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16)], "vec_id long, embedding array<double>")
     rows = search(spark.createDataFrame(frame).unionByName(extra), F.expr("id % 50 = 0"), 5).collect()
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
