@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-CHUNK = 1_000_000
+CHUNK = 250_000
 _U = np.uint64
 
 
