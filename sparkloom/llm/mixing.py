@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, unit_hash
+from .common import materialised, table, unit_hash
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -70,10 +70,11 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED)
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """The mixture itself: every document as often as its plan says, all its columns kept.
 
-    Rates go to the rows by source, so whole texts are not shuffled to find their copies.
+    The rates are a written table of one row per source, so their size is known before the join is planned:
+    under the session's broadcast threshold they go to the rows, and no text is shuffled; beyond it the join sorts.
     """
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
-    per = source_targets(sized, weights, cap).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    per = materialised(source_targets(sized, weights, cap).select(F.col("source").alias("__source"), F.col("rate").alias("__rate")))
     joined = docs.join(per, F.col("source").eqNullSafe(F.col("__source")))
     extra = (unit_hash(seed, F.col("doc_id")) < F.col("__rate") - F.floor("__rate")).cast("int")
     copies = F.floor("__rate").cast("int") + extra
