@@ -12,7 +12,8 @@ a scan over the blocks of each document, then the labels inside the blocks.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows
 without a language are not learned from; if nothing can be learned every row is
-``und``; repeated rows are labelled alike.
+``und``; repeated rows are labelled alike; a kept column named like one that
+``predict`` adds (lang_pred, score, spans) gives way to it.
 """
 
 from __future__ import annotations
@@ -195,8 +196,9 @@ PREDICTED = "lang_pred string, score double, spans array<struct<first:int,stop:i
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], switch: float = SWITCH) -> DataFrame:
     """The columns ``keep`` of every row with lang_pred, score and spans (in words)."""
+    keep = [c for c in keep if c.lower() not in {p.split()[0] for p in PREDICTED.split(", ")}]
     if model is None:
-        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.expr("cast(array() as array<struct<first:int,stop:int,lang:string>>)").alias("spans"))
+        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.expr("cast(array() as array<struct<first:int,stop:int,lang:string>>)").alias("spans"))
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     read = [*keep, *([] if "text" in keep else ["text"])]
 
@@ -217,7 +219,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], switch: float
                     found.append([{"first": a, "stop": b, "lang": model.languages[x]} for a, b, x in spans(part)])
             yield batch[keep].assign(lang_pred=best, score=score, spans=found)
 
-    return docs.select(*read).mapInPandas(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", " + PREDICTED)
+    return docs.select(*[F.col(f"`{c}`") for c in read]).mapInPandas(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", " + PREDICTED)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

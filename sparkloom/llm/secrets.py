@@ -14,7 +14,8 @@ control sees every token of the corpus through a table of bounded size.
 
 Edge cases: a null text counts as empty; an empty table gives an empty result;
 texts without a match get empty spans; rows that repeat an id are scanned each
-by itself; positions are code points.
+by itself; positions are code points; an input column named like one that
+``scan`` adds (ADDED) gives way to it, other columns stay.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
+ADDED = (*[f"n_{k}" for k in KINDS[:3]], "base", "spans")
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 MIN_BITS = 90.0
@@ -167,14 +169,15 @@ def scan(docs: DataFrame, level: float = FDR, min_bits: float = MIN_BITS) -> Dat
     """docs with n_assign, n_access, n_hex, base and spans (arrays of start, kind, stop), one row per input row.
 
     Rows are keyed by a hash of id and text: rows that agree in both have the same spans.
-    Only the short span lists are shuffled; a random token inside a base span adds nothing.
+    The columns that the caller selects are shuffled by the key to meet the spans of random tokens: short
+    span lists if the text is not among them. A random token inside a base span adds nothing.
     """
-    df = docs.withColumn("__text", text_or_empty()).withColumn("row", F.xxhash64("doc_id", "__text"))
-    df = with_base_spans(df, "__text")
-    small = df.select("row", F.filter(matches(F.col("__text"), TOKEN), lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["stop"] <= b["stop"]))).alias("tokens"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
+    df = with_base_spans(docs.withColumn("__text", text_or_empty()).withColumn("__row", F.xxhash64("doc_id", "__text")), "__text")
+    small = df.select(F.col("__row").alias("row"), F.filter(matches(F.col("__text"), TOKEN), lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["stop"] <= b["stop"]))).alias("tokens"))
     extra = random_spans(small.filter(F.size("tokens") > 0).groupBy("row").agg(F.first("tokens").alias("tokens")), level, min_bits)
-    joined = df.join(extra, "row", "left").drop("row", "__text")
-    return joined.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("random", F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)"))))).drop("random")
+    joined = df.join(extra.select(F.col("row").alias("__row"), F.col("random").alias("__random")), "__row", "left").drop("__row", "__text")
+    return joined.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("__random", F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)"))))).drop("__random")
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
