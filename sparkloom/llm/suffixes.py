@@ -166,11 +166,12 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     need = length - gram
     found = anchor_rows(texts.select("row", "text"), length, gram)
     # nearly all grams stand alone: they are dropped before anything else is shuffled
-    again = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # counts are written before they are joined: a join of two plain shuffles is one whose hot gram Spark can split
+    again = materialised(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
     live = materialised(found.join(again, "gram", "left_semi"))
-    kinds = live.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("at"))
+    kinds = materialised(live.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("at")))
     whole = live.join(kinds.filter("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("row", F.greatest(F.col("place") - need, F.lit(0)).alias("first"), (F.col("place") + length).alias("stop"))
-    several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
+    several = materialised(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1"))
     asked = kinds.join(several, "gram").select("at.row", F.struct("at.place", "gram", "n", (F.col("kinds") > hot).alias("hot")).alias("ask")).groupBy("row").agg(F.collect_list("ask").alias("asks"))
     asked = materialised(asked)
 
@@ -199,7 +200,6 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         asks = asked.withColumn("asks", F.expr(f"filter(asks, a -> {which})")).filter("size(asks) > 0")
         return likely(unique_texts, asks, "row").join(asks, "row").mapInPandas(contexts, context)
 
-
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
