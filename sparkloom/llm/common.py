@@ -33,6 +33,14 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows that a Python worker of this session holds at a time from now on: texts can be long, and Spark's default is ten times as many."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 BUCKETS = 1 << 18
 
 

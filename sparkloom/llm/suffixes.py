@@ -32,12 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import likely, materialised, table, text_or_empty
+from .common import bounded_batches, likely, materialised, table, text_or_empty
 from .textkit import mix64, powers, prefix_hashes, window_minima
 
 LENGTH, GRAM = 200, 64
 HOT = 20_000
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 250_000
 
 
 def byte_chunks(texts: pd.Series, size: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -233,8 +233,8 @@ def repeated_parts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     return texts, materialised(whole.unionByName(edges).unionByName(counted))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, removed (array of first, stop), kept (bytes that remain)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, removed (array of first, stop), kept_sha256, kept (bytes that remain, null unless ``with_kept``)."""
     texts, parts = repeated_parts(docs, length, gram, hot)
     lists = materialised(parts.groupBy("row").agg(F.collect_set(F.struct("first", "stop")).alias("parts")))
 
@@ -253,7 +253,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                     kept.append(raw[at:first])
                     at = stop
                 kept = b"".join([*kept, raw[at:]])
-                out.append((doc, len(raw), len(raw) - len(kept), len(merged), [{"first": a, "stop": b} for a, b in merged], hashlib.sha256(kept).hexdigest(), kept))
+                out.append((doc, len(raw), len(raw) - len(kept), len(merged), [{"first": a, "stop": b} for a, b in merged], hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
             frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept_sha256", "kept"])
             frame["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in frame["doc_id"]], dtype="Int64")
             yield frame
@@ -265,4 +265,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    bounded_batches(spark)
+    return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
