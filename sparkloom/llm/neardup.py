@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, likely, materialised, table
+from .common import bounded_batches, checkpointed, likely, materialised, table
 from .graph import components
 from .textkit import chunks, mix64, shingle_hashes, word_hashes
 
@@ -140,7 +140,8 @@ def candidate_links(unique: DataFrame) -> DataFrame:
     single = F.transform("bands", lambda x, i: F.xxhash64(i, x))
     double = F.transform(F.sequence(F.lit(0), F.size("bands") - 1), lambda i: F.xxhash64(i, F.element_at("bands", i + 1), F.element_at("bands", (i + 1) % F.size("bands") + 1), F.lit(2)))
     keyed = unique.filter("bands is not null").select("v", F.explode(F.concat(single, double)).alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low <> high")
+    # written before it is joined: a join of two plain shuffles is one whose hot bucket Spark can split
+    ends = materialised(keyed.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low <> high"))
     return keyed.join(ends, "key").select("v", F.explode(F.array_distinct(F.array("low", "high"))).alias("b")).filter("v <> b").select(F.least("v", "b").alias("a"), F.greatest("v", "b").alias("b")).distinct()
 
 
@@ -159,11 +160,14 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: Broadcast, threshold: float
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, value = None, None
         for batch in batches:
-            sims = []
-            for b, ta, tb in zip(batch["b"], batch["text_a"], batch["text_b"], strict=True):
-                if known != (b, len(tb)):
-                    known, value = (b, len(tb)), weighted_shingles([tb], idf.value)[:2]
-                sims.append(similarity(weighted_shingles([ta], idf.value)[:2], value))
+            sims, others = [], batch["text_b"].tolist()
+            for first, group in chunks(batch["text_a"]):
+                shingles, weights, at = weighted_shingles(group, idf.value)
+                for i in range(len(group)):
+                    tb = others[first + i]
+                    if known != tb:
+                        known, value = tb, weighted_shingles([tb], idf.value)[:2]
+                    sims.append(similarity((shingles[at[i] : at[i + 1]], weights[at[i] : at[i + 1]]), value))
             out = batch[["a", "b"]].assign(similarity=sims)
             yield out[out["similarity"] >= threshold]
 
@@ -185,4 +189,5 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return classes(table(spark, sf_dir, "documents"))
