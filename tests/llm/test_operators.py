@@ -75,6 +75,16 @@ def test_passages_hold_the_shared_one(docs):
     assert {3, 4, 5, 6} <= found and 7 not in found
 
 
+def test_passages_at_the_threshold_are_found(spark):
+    """Passages of 50 words with one word changed, 41 of 51 shingles: one pair in 700 may be lost, where four functions lose one in 235."""
+    rng, rows, n = np.random.default_rng(5), [], 1500
+    for i in range(n):
+        a, b, c, d, passage = (list(map(str, rng.integers(10**8, 10**9, k))) for k in (30, 30, 30, 30, 50))
+        rows += [(2 * i, " ".join(a + passage + b)), (2 * i + 1, " ".join(c + passage[:24] + ["changed"] + passage[25:] + d))]
+    found = near_passages(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id <> class_doc_id").select("doc_id").distinct().count()
+    assert found >= n - 2
+
+
 def test_compact_windows_cover_each_stretch_once():
     rng = np.random.default_rng(0)
     values = rng.integers(1, 50, 200).astype(np.uint64)
