@@ -15,7 +15,7 @@ from sparkloom.llm.merkle import fingerprints
 from sparkloom.llm.mixing import mix_plan
 from sparkloom.llm.neardup import classes
 from sparkloom.llm.packing import WordCache, packed, tokenizer_path
-from sparkloom.llm.passages import compact_windows, near_passages
+from sparkloom.llm.passages import aligned, compact_windows, near_passages, regions
 from sparkloom.llm.secrets import redacted, scan
 from sparkloom.llm.sharding import shard_documents
 from sparkloom.llm.suffixes import remove_repeats
@@ -85,6 +85,28 @@ def test_passages_at_the_threshold_are_found(spark):
     assert found >= n - 2
 
 
+def test_interleaved_hits_are_joined_in_both_texts():
+    hit = lambda k, *span: dict(zip(("k", "l", "r", "ol", "or"), (k, *map(int, span)), strict=True))
+    assert regions([hit(0, 10, 70, 110, 170), hit(1, 12, 60, 500, 560), hit(2, 14, 75, 112, 172)]) == [(10, 75, 110, 172)]
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        hits = [hit(rng.integers(3), a, a + rng.integers(5, 40), b, b + rng.integers(5, 40)) for a, b in rng.integers(0, 300, (rng.integers(1, 30), 2))]
+        groups = [[h] for h in hits]
+        meet = lambda g, h: any(x["l"] <= y["r"] and y["l"] <= x["r"] and x["ol"] <= y["or"] and y["ol"] <= x["or"] for x in g for y in h)
+        while pair := next(((i, j) for i in range(len(groups)) for j in range(i) if meet(groups[i], groups[j])), None):
+            groups[pair[1]] += groups.pop(pair[0])
+        expected = sorted((min(h["l"] for h in g), max(h["r"] for h in g), min(h["ol"] for h in g), max(h["or"] for h in g)) for g in groups if len({h["k"] for h in g}) > 1)
+        assert regions(hits) == expected
+
+
+def test_a_passage_at_two_places_of_the_other_text_is_found_at_both():
+    rng = np.random.default_rng(0)
+    passage, b = rng.integers(0, 1 << 60, 60).astype(np.uint64), rng.integers(0, 1 << 60, 400).astype(np.uint64)
+    b[20:80] = b[300:360] = passage
+    hits = [{"k": k, "l": 0, "r": 59, "ol": at, "or": at + 59} for k in (0, 1) for at in (20, 300)]
+    assert aligned(passage, b, hits, 46) == [(0, 60, 20, 80, 1.0), (0, 60, 300, 360, 1.0)]
+
+
 def test_compact_windows_cover_each_stretch_once():
     rng = np.random.default_rng(0)
     values = rng.integers(1, 50, 200).astype(np.uint64)
