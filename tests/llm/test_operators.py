@@ -107,6 +107,18 @@ def test_a_passage_at_two_places_of_the_other_text_is_found_at_both():
     assert aligned(passage, b, hits, 46) == [(0, 60, 20, 80, 1.0), (0, 60, 300, 360, 1.0)]
 
 
+def test_passages_about_a_frequent_line_are_found(spark):
+    """100 pairs that share 50 words with 40 of a line that all texts hold, the second at the line's last place in its text."""
+    rng, line = np.random.default_rng(1), " ".join(f"line{i}" for i in range(40))
+    some = lambda n: " ".join(map(str, rng.integers(10**8, 10**9, n)))
+    rows, n = [], 100
+    for i in range(n):
+        before, after = some(5), some(5)
+        rows += [(i, f"{some(60)} {before} {line} {after} {some(60)}"), (1000 - i, f"{some(80)} {line} {some(80)} {before} {line} {after} {some(60)}")]
+    pairs = near_passages(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id <> class_doc_id").select(F.least("doc_id", "class_doc_id").alias("a"), F.greatest("doc_id", "class_doc_id").alias("b")).distinct().collect()
+    assert {(i, 1000 - i) for i in range(n)} <= {(r["a"], r["b"]) for r in pairs}
+
+
 def test_compact_windows_cover_each_stretch_once():
     rng = np.random.default_rng(0)
     values = rng.integers(1, 50, 200).astype(np.uint64)
