@@ -6,7 +6,8 @@ in 2**18 hashed buckets, a table of fixed size; a bucket's frequency bounds its
 shingles' from above. Samples are banded; the documents of a bucket are linked
 to the bucket's least and largest document, and those of two neighbouring buckets
 to the least that is in both, so links grow with the documents and not with
-their pairs. Each link is verified by the exact weighted Jaccard similarity, and
+their pairs; documents in neither end's class are compared among themselves,
+by new ends, until a bucket holds no two of them. Each link is verified by the exact weighted Jaccard similarity, and
 classes are the connected components. Exact copies are one document throughout.
 
 Edge cases: a null text is in no class but its own; equal texts are one class,
@@ -135,14 +136,47 @@ def sketches(docs: DataFrame, idf: Broadcast) -> DataFrame:
     return base.mapInPandas(run, "doc_id long, h1 long, h2 long, bands array<long>")
 
 
-def candidate_links(unique: DataFrame) -> DataFrame:
-    """Distinct (a, b): a document and the least or largest of one of its buckets. ``unique``: v, bands."""
+def bucketed(unique: DataFrame) -> DataFrame:
+    """(v, key): the documents of each bucket, and of each two neighbouring buckets. ``unique``: v, bands."""
     single = F.transform("bands", lambda x, i: F.xxhash64(i, x))
     double = F.transform(F.sequence(F.lit(0), F.size("bands") - 1), lambda i: F.xxhash64(i, F.element_at("bands", i + 1), F.element_at("bands", (i + 1) % F.size("bands") + 1), F.lit(2)))
-    keyed = unique.filter("bands is not null").select("v", F.explode(F.concat(single, double)).alias("key"))
+    return unique.filter("bands is not null").select("v", F.explode(F.concat(single, double)).alias("key"))
+
+
+def with_ends(keyed: DataFrame) -> DataFrame:
+    """v, key, low, high: buckets of two or more documents, with their least and largest."""
     # written before it is joined: a join of two plain shuffles is one whose hot bucket Spark can split
     ends = materialised(keyed.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low <> high"))
-    return keyed.join(ends, "key").select("v", F.explode(F.array_distinct(F.array("low", "high"))).alias("b")).filter("v <> b").select(F.least("v", "b").alias("a"), F.greatest("v", "b").alias("b")).distinct()
+    return keyed.join(ends, "key")
+
+
+def links_of(buckets: DataFrame) -> DataFrame:
+    """Distinct (a, b): a document and the least or largest of one of its buckets."""
+    return buckets.select("v", F.explode(F.array_distinct(F.array("low", "high"))).alias("b")).filter("v <> b").select(F.least("v", "b").alias("a"), F.greatest("v", "b").alias("b")).distinct()
+
+
+def linked(unique: DataFrame, docs: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
+    """v, label of every document that is near another one of a bucket.
+
+    The documents of a bucket are compared with its least and largest. Those that
+    are in neither's class are compared again among themselves, with new ends,
+    until no bucket holds two; a bucket of n unlike documents takes n / 2 rounds.
+    A document is not compared with those that joined an end's class.
+    """
+    buckets = materialised(with_ends(bucketed(unique)))
+    done = materialised(links_of(buckets))
+    near = materialised(verified(done, docs, idf, threshold))
+    while True:
+        labels = components(near)
+        name = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}_label"))
+        named = buckets.join(name("v"), "v", "left").join(name("low"), "low", "left").join(name("high"), "high", "left")
+        rest = named.filter("v <> low and v <> high and coalesce(v_label, v) <> coalesce(low_label, low) and coalesce(v_label, v) <> coalesce(high_label, high)")
+        buckets = materialised(with_ends(materialised(rest.select("v", "key"))))
+        pairs = materialised(links_of(buckets).join(done, ["a", "b"], "left_anti"))
+        if buckets.isEmpty():
+            return labels
+        done = done.union(pairs)
+        near = near.union(materialised(verified(pairs, docs, idf, threshold)))
 
 
 def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -180,8 +214,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = sc.broadcast(inverse_frequencies(*document_frequencies(docs)))
     sketched = checkpointed(sketches(docs, idf))
     first = sketched.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("v"), "bands")).alias("m")).select("h1", "h2", "m.v", "m.bands")
-    pairs = checkpointed(candidate_links(first.select("v", "bands")))
-    labels = components(verified(pairs, docs, idf, threshold))
+    labels = linked(first.select("v", "bands"), docs, idf, threshold)
     named = first.select("h1", "h2", "v").join(labels, "v", "left").select("h1", "h2", F.coalesce("label", "v").alias("class_id"))
     found = sketched.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "class_id")
     alone = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNull()).select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("class_id", F.col("doc_id"))

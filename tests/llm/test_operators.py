@@ -13,7 +13,7 @@ from sparkloom.llm.ann import search
 from sparkloom.llm.langid import viterbi
 from sparkloom.llm.merkle import fingerprints
 from sparkloom.llm.mixing import mix_plan
-from sparkloom.llm.neardup import classes
+from sparkloom.llm.neardup import classes, linked
 from sparkloom.llm.packing import WordCache, packed, tokenizer_path
 from sparkloom.llm.passages import aligned, compact_windows, near_passages, regions
 from sparkloom.llm.secrets import redacted, scan
@@ -70,6 +70,16 @@ def test_near_duplicates(docs):
     assert sorted(i for i in found if found[i] != i) == [4, 5]
 
 
+def test_near_ones_between_the_ends_of_a_bucket_are_linked(spark):
+    """Documents 1 to 4 meet in one bucket; 2 and 3 are near each other, not near its ends."""
+    near = words(7, 200)
+    texts = [words(5, 200), near, near + " more", words(6, 200)]
+    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    idf = spark.sparkContext.broadcast(np.ones(1 << 18, dtype=np.float32))
+    labels = linked(spark.createDataFrame([(i, [1, 2]) for i in range(1, 5)], "v long, bands array<long>"), docs, idf, 0.8)
+    assert {(r["v"], r["label"]) for r in labels.collect()} == {(2, 2), (3, 2)}
+
+
 def test_passages_hold_the_shared_one(docs):
     found = {r["doc_id"] for r in near_passages(docs).collect()}
     assert {3, 4, 5, 6} <= found and 7 not in found
