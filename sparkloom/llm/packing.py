@@ -4,7 +4,9 @@ Documents come in the order of their partition. A document is its token ids and
 an end id; whatever fills whole windows is cut off as pieces of full length, and
 the rest goes to the fill level that leaves the least sum of squared counts of
 partly filled windows. Counts by level are an array of ``window`` numbers, and
-open windows hang off their level, so memory is bounded by the open windows.
+open windows hang off their level. At most ``MAX_OPEN`` windows are open, so
+memory is bounded: a piece that would need one more is cut, and its head fills a
+window of the level with most windows, which lowers the sum of squares most.
 When the partition ends, the windows still open are joined into as few as
 possible by cutting their pieces; what is padded is less than one window in all.
 
@@ -37,6 +39,7 @@ WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 CACHE = 700_000
+MAX_OPEN = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: These count as white space for str.split() but not for the tokenizer.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -71,7 +74,7 @@ class WordCache:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        latin = [chr(i) for i in range(1, 0x130)]
+        latin = [chr(i) for i in range(0x130)]
         self.spelling = {ord(c): "".join(p for p, _ in spell.pre_tokenize_str(c)) for c in latin if c >= "\x80" and c.isalpha()}
         digits = [c for c in latin if unicodedata.category(c)[0] == "N"]
         signs = [c for c in latin if not c.isalpha() and not c.isspace() and c not in digits and c != "'"]
@@ -81,7 +84,8 @@ class WordCache:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        runs = [w for w in words if w.isalpha() and max(w) < "\u0130"]
+        # the bare model has no normalizer: a run with a capital, as texts that are not lowered hold, is not for it
+        runs = [w for w in words if w.isalpha() and max(w) < "\u0130" and w == w.lower()]
         if runs:
             ids = np.array(self.bare.encode_batch_fast([" ".join(runs).translate(self.spelling)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -122,14 +126,16 @@ class SumOfSquares:
     Putting an item of size s into a window of level h takes one from N(h) and
     adds one to N(h + s); the change of the sum of squares is
     2 (N(h + s) - N(h)) + 2, and 2 N(s) + 1 for a new window; a full window counts nothing.
+    With ``limit`` windows open no further one is opened: an item that fits none
+    is cut, so that its head fills a window of the level h with the largest N(h).
     """
 
-    def __init__(self, window: int = WINDOW):
-        self.window, self.counts, self.open = window, np.zeros(window + 1, dtype=np.int64), defaultdict(list)
-        self.next = 0
+    def __init__(self, window: int = WINDOW, limit: int = MAX_OPEN):
+        self.window, self.limit, self.counts, self.open = window, limit, np.zeros(window + 1, dtype=np.int64), defaultdict(list)
+        self.next = self.n_open = 0
 
-    def place(self, size: int) -> tuple[int, int, bool]:
-        """(window's number, level it had, whether it is now full)."""
+    def place(self, size: int) -> tuple[int, int, int]:
+        """(window's number, level it had, how much of the item goes there)."""
         w, n = self.window, self.counts
         top = w - size
         change = 2 * (n[size + 1 : w + 1] - n[1 : top + 1]) + 2
@@ -137,36 +143,48 @@ class SumOfSquares:
             change[-1] = 1 - 2 * n[top]  # to the full level, which is not counted
         change = np.where(n[1 : top + 1] > 0, change, np.iinfo(np.int64).max)
         new = 2 * n[size] + 1 if size < w else 0
+        if size < w and self.n_open >= self.limit:
+            new = np.iinfo(np.int64).max - 1
         # among equal changes the fullest window wins
         best = len(change) - 1 - int(np.argmin(change[::-1])) if len(change) else -1
         if best >= 0 and change[best] <= new:
             level = best + 1
+        elif size < w and self.n_open >= self.limit:
+            level = int(np.argmax(n))
+            size = w - level
+        else:
+            level = 0
+        if level:
             number = self.open[level].pop()
             n[level] -= 1
+            self.n_open -= 1
         else:
-            level, number, self.next = 0, self.next, self.next + 1
+            number, self.next = self.next, self.next + 1
         if level + size < w:
             n[level + size] += 1
+            self.n_open += 1
             self.open[level + size].append(number)
-        return number, level, level + size == w
+        return number, level, size
 
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
-def packed(items: Iterator[tuple[object, np.ndarray]], window: int = WINDOW, first: int = 0) -> Iterator[tuple]:
+def packed(items: Iterator[tuple[object, np.ndarray]], window: int = WINDOW, first: int = 0, limit: int = MAX_OPEN) -> Iterator[tuple]:
     """Rows as PIECES from (doc_id, ids with the end id); windows are numbered from ``first``."""
-    bins, held = SumOfSquares(window), {}
+    bins, held = SumOfSquares(window, limit), {}
     for doc, ids in items:
         n, whole = len(ids), len(ids) // window * window
         for at in range(0, whole, window):
             yield doc, at, window, _crc(ids[at : at + window]), n, first + bins.next, 0
             bins.next += 1
-        if n > whole:
-            number, level, full = bins.place(n - whole)
-            held.setdefault(number, []).append((doc, whole, ids[whole:].copy(), n, level))
-            if full:
+        at = whole
+        while at < n:
+            number, level, size = bins.place(n - at)
+            held.setdefault(number, []).append((doc, at, ids[at : at + size].copy(), n, level))
+            at += size
+            if level + size == window:
                 for d, start, part, total, offset in held.pop(number):
                     yield d, start, len(part), _crc(part), total, first + number, offset
     # what is still open: the fullest windows stay, pieces of the emptiest are cut to fill them

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -14,7 +15,7 @@ from sparkloom.llm.langid import viterbi
 from sparkloom.llm.merkle import fingerprints
 from sparkloom.llm.mixing import mix_plan
 from sparkloom.llm.neardup import classes, linked
-from sparkloom.llm.packing import WordCache, packed, tokenizer_path
+from sparkloom.llm.packing import SumOfSquares, WordCache, pack_documents, packed, tokenizer_path
 from sparkloom.llm.passages import aligned, compact_windows, near_passages, regions
 from sparkloom.llm.secrets import redacted, scan
 from sparkloom.llm.sharding import shard_documents
@@ -178,10 +179,52 @@ def test_packing_round_trip():
     assert max(fills) <= 256 and sum(256 - f for f in fills) < 256
 
 
+def test_open_windows_are_bounded_and_cut_within_the_method():
+    """All documents over half a window: none fits beside another, so pieces are cut once the limit is reached."""
+    items = [(i, np.arange(140, dtype="<u4")) for i in range(300)]
+    bins = SumOfSquares(256, 8)
+    for _ in items:
+        left = 140
+        while left:
+            left -= bins.place(left)[2]
+        assert sum(map(len, bins.open.values())) == bins.n_open <= 8
+    rows = list(packed(iter(items), 256, limit=8))
+    assert sum(r[2] for r in rows) == 300 * 140 and len({r[5] for r in rows}) == -(-300 * 140 // 256)
+
+
+def random_texts(n: int) -> list[str]:
+    """Mixtures of scripts, capitals, apostrophes, odd spaces, marks and signs."""
+    rng = np.random.default_rng(3)
+    pools = ["abcdefgh", "ABCDEFGH", " \t\n\u00a0\u3000\u2003\u2028", "0123456789\u00b2\u0663", "'\u2019\u201c\u201d\u2014-.,;#", "\u00e9\u00c9\u00df\u00f1\u0130\u0131\u0149\u01c5\u0178", "\u65e5\u672c\u8a9e\uac00\u0e01\u0939\u093f", "\u0301\u0327\u0308\u00ad\u200b\u200d", "\ufb01\u2460\u212b\u2126\u037e\u1e9e\u03a3\u03c3\u03c2", "\U0001f600\U0001d400", "\x00\x1c\x1f\x85\x7f", "sS tT'"]
+    out = []
+    for _ in range(n):
+        chosen = [pools[i] for i in rng.choice(len(pools), rng.integers(1, 6))] + [" ", "abc", "Abc"]
+        out.append("".join(str(rng.choice(list(chosen[i]))) for i in rng.integers(0, len(chosen), rng.integers(1, 40))))
+    return out
+
+
 def test_words_give_the_tokenizers_ids():
     cache = WordCache(tokenizer_path())
-    for text in ("", "Hello, WORLD's 12 cafés!", "a\x1cb 中文 don't <|endoftext|>", "tabs\tand spaces... ###$$ ×"):
-        assert cache.encode(text).tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["", "Hello, WORLD's 12 caf\u00e9s!", "a\x1cb \u4e2d\u6587 don't <|endoftext|>", "tabs\tand spaces... ###$$ \u00d7", "Don't Stop Now", "The dog isn't in Paris", "It\u2019s Great \u2014 New York", "\u65e5\u672c Tokyo Tower", "#\x00#"]
+    wrong = [t for t in texts + random_texts(10_000) if cache.encode(t).tolist() != cache.tokenizer.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
+def test_packing_query_gives_every_id_once(spark, docs):
+    """The whole operator against the tokenizer: each document's pieces in order are its ids and the end id, with their checksums."""
+    extra = spark.createDataFrame([(100, "Don't Stop \u2014 Tokyo \u65e5\u672c", None, None, None, "x"), (None, "A", None, None, None, "x")], SCHEMA)
+    rows = pack_documents(docs.unionByName(extra)).toPandas()
+    plain = WordCache(tokenizer_path()).tokenizer
+    for doc, text in [(t[0], t[1]) for t in fixture()] + [(100, "Don't Stop \u2014 Tokyo \u65e5\u672c")]:
+        ids = np.array([*(plain.encode(text or "", add_special_tokens=False).ids), 2], dtype="<u4")
+        at = 0
+        for r in rows[rows["doc_id"] == doc].sort_values("start").itertuples():
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    for _, part in rows.groupby("sequence_id"):
+        part = part.sort_values("offset")
+        assert part["offset"].tolist() == [0, *part["length"].cumsum().tolist()[:-1]] and part["length"].sum() <= 4096
 
 
 def test_viterbi_equals_a_plain_pass():
