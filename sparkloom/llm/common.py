@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,21 +11,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where ``spark.checkpoint.dir`` is unset, as in local tests.
+    Only a local session, whose executors are the driver's own threads, gets a
+    folder of its own where none is named; a cluster without one is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
+    return folder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named, as in local tests."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=eager)
 
 
 def materialised(df: DataFrame) -> DataFrame:
