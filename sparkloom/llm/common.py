@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,16 +54,54 @@ def bounded_batches(spark: SparkSession) -> None:
 BUCKETS = 1 << 18
 
 
-def likely(df: DataFrame, ids: DataFrame, key: str, inverse: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """Rows of df whose key may be among ids: a filter by hash bucket, ahead of an exact join.
+def likely(df: DataFrame, ids: DataFrame, column: str, key: str | None = None, inverse: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of df whose ``column`` may be among the ``key`` (by default of the same name) of ids: a filter by hash bucket, ahead of an exact join.
 
     The bucket table has at most ``buckets`` rows, so it is broadcast at any size
     of ids; when it is full it filters nothing and the exact join still holds.
-    ``inverse`` gives the other rows: those whose key is certainly not among ids.
+    ``inverse`` gives the other rows: those whose value is certainly not among ids.
     """
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(buckets)).cast("int")
-    some = ids.select(bucket.alias("__bucket")).distinct()
-    return df.withColumn("__own", bucket).join(F.broadcast(some), F.col("__own") == F.col("__bucket"), "left_anti" if inverse else "left_semi").drop("__own")
+    bucket = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(buckets)).cast("int")
+    some = ids.select(bucket(key or column).alias("__bucket")).distinct()
+    return df.withColumn("__own", bucket(column)).join(F.broadcast(some), F.col("__own") == F.col("__bucket"), "left_anti" if inverse else "left_semi").drop("__own")
+
+
+BITMAP_BITS = 1 << 26
+
+
+def bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> np.ndarray:
+    """A bit for each hash bucket of the keys: ``bits / 8`` bytes (8 MB) whatever the number of keys. When it is full it filters nothing."""
+    slot = (F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits)) + 1).alias("slot")
+    pages = keys.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros((-(-bits // 32768), 4096), dtype=np.uint8)
+    for row in pages.collect():
+        out[row["page"] - 1] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def long_hash(x: np.ndarray) -> np.ndarray:
+    """The engine's xxhash64 (seed 42) of whole numbers of 64 bits."""
+    u = np.uint64
+    # The primes of the public xxHash64 algorithm.
+    p1, p2, p3, p4, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x85EBCA77C2B2AE63), u(0x27D4EB2F165667C5)
+    with np.errstate(over="ignore"):
+        h = u(42) + p5 + u(8)
+        h = h ^ (_rotated(np.asarray(x).view(np.uint64) * p2, 31) * p1)
+        h = _rotated(h, 27) * p1 + p4
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+        return h ^ (h >> u(32))
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be among those of bitmap()."""
+    # bits is a power of two, so the remainder of the signed hash is its low bits
+    slot = (long_hash(np.ascontiguousarray(keys, dtype=np.int64)) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

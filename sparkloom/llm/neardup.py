@@ -1,18 +1,33 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
 Shingles are five words; a shingle weighs its count in the document times its
-inverse document frequency. Document frequencies are counted over all documents
-in 2**18 hashed buckets, a table of fixed size; a bucket's frequency bounds its
-shingles' from above. Samples are banded; the documents of a bucket are linked
-to the bucket's least and largest document, and those of two neighbouring buckets
-to the least that is in both, so links grow with the documents and not with
-their pairs; documents in neither end's class are compared among themselves,
-by new ends, until a bucket holds no two of them. Each link is verified by the exact weighted Jaccard similarity, and
-classes are the connected components. Exact copies are one document throughout.
+inverse document frequency, which is counted exactly over all documents.
+
+1. Equal texts are one vertex, named by a 64-bit hash of the text, with the
+   number of its documents.
+2. Document frequencies: each task sends its distinct shingles in sorted, delta
+   coded blocks by hash range; a range is counted by itself. Shingles of one
+   document need no row. Ranges grow in number with the corpus, not in size.
+3. Sampling: the at most ``HEAVY`` shingles of most documents are broadcast with
+   their frequencies; any other counts as unique there. A shared shingle can
+   only weigh more by that, so near documents are not sampled apart.
+4. Banding: a bucket's documents are compared with its two ends, the least and
+   largest. Those that are in neither's class go on to smaller buckets, by two
+   further bands each, for ``DEPTH`` rounds; then they meet again, with twice as
+   many ends each round, until no bucket holds two of them.
+5. Each pair is verified by the exact weighted Jaccard similarity: the candidates'
+   repeated shingles are joined with the exact frequencies (rare ones alone are
+   joined, so no key is hot), and what is unique counts in a document's total.
+
+Classes are the connected components. Shingles are compared by 56-bit hashes.
+A document that is near only members of an end's class, and not the end, can
+miss that class in one bucket; it has as many chances as they share buckets.
 
 Edge cases: a null text is in no class but its own; equal texts are one class,
 however short; a text of fewer than five words is one shingle; rows with a null
-id have no class; repeated rows are one vertex; an empty table gives no rows.
+id have no class, though their texts count; repeated rows are one vertex; rows of
+one id with different texts have a class each; an empty table gives no rows. A
+text's shingles are held by one worker at a time, some 50 bytes a word.
 """
 
 from __future__ import annotations
@@ -26,14 +41,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, likely, materialised, table
+from .common import bitmap, bounded_batches, in_bitmap, likely, materialised, table
 from .graph import components
 from .textkit import chunks, mix64, shingle_hashes, word_hashes
 
-BUCKET_BITS = 18
 BANDS, ROWS = 12, 3
 THRESHOLD = 0.8
 WIDTH = 5
+HEAVY = 1 << 20
+DEPTH = 6
+#: Bits of a shingle's hash, shingles that a task gathers before it sends blocks, characters of text for each hash range.
+SHINGLE_BITS, GATHERED, RANGE_CHARS = 56, 2_000_000, 1 << 25
 
 
 @lru_cache(1)
@@ -46,19 +64,17 @@ def gamma_table(bits: int = 16) -> np.ndarray:
     return x.astype(np.float32)
 
 
-def weighted_shingles(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles by text in order of their hash, their weights, and offsets by text."""
+def counted_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles by text in order of their hash, their counts, and offsets by text."""
     shingles, at = shingle_hashes(*word_hashes(texts), WIDTH)
+    shingles = shingles >> np.uint64(64 - SHINGLE_BITS)
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
     order = np.lexsort((shingles, owner))
     shingles, owner = shingles[order], owner[order]
     new = np.ones(len(shingles), dtype=bool)
     new[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(shingles)))
-    kept = shingles[first]
-    weight = count.astype(np.float32) * idf[(kept >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-    return kept, weight, np.searchsorted(owner[first], np.arange(len(texts) + 1))
+    return shingles[first], np.diff(np.append(first, len(shingles))), np.searchsorted(owner[first], np.arange(len(texts) + 1))
 
 
 def samples(shingles: np.ndarray, weights: np.ndarray, at: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
@@ -67,7 +83,7 @@ def samples(shingles: np.ndarray, weights: np.ndarray, at: np.ndarray, n: int =
     starts, sizes = at[:-1][full], np.diff(at)[full]
     owner = np.repeat(np.arange(len(full)), sizes)
     gamma, out = gamma_table(), np.empty((len(full), n), dtype=np.uint64)
-    log_gamma, log_weight = np.log(gamma), np.log(weights)
+    log_gamma, log_weight = np.log(gamma), np.log(weights).astype(np.float32)
     for j in range(n):
         h = mix64(shingles + np.uint64((j + 1) * 0x632BE59BD9B4E019 % (1 << 64)))
         r = gamma[(h & np.uint64(0xFFFF)).astype(np.int64)]
@@ -80,103 +96,257 @@ def samples(shingles: np.ndarray, weights: np.ndarray, at: np.ndarray, n: int =
     return out
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents by shingle bucket, over all documents, and the number of documents. At most 2**18 numbers reach the driver."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(1 << BUCKET_BITS, dtype=np.int64), 0
+def distinct_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """v, text, n: each text once, with the number of its documents. Only texts that may repeat are shuffled. ``ids``: doc_id, v."""
+    several = materialised(ids.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    hashed = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("v"), "text")
+    alone = likely(hashed, several, "v", inverse=True).withColumn("n", F.lit(1).cast("long"))
+    return alone.unionByName(likely(hashed, several, "v").groupBy("v").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")))
+
+
+def packed_block(values: np.ndarray) -> bytes:
+    """Sorted whole numbers as their first one and steps of as few bytes as the largest step needs."""
+    if not len(values):
+        return b""
+    steps = np.diff(values)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + values[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked_block(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, dtype=np.uint64)
+    width, first = raw[0], np.frombuffer(raw, dtype="<u8", count=1, offset=1)
+    steps = np.zeros(((len(raw) - 9) // width, 8), dtype=np.uint8)
+    steps[:, :width] = np.frombuffer(raw, dtype=np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(np.concatenate([first, steps.reshape(-1).view("<u8")]), dtype=np.uint64)
+
+
+def document_frequencies(texts: DataFrame, ranges: int) -> DataFrame:
+    """shingle, df: the exact number of documents of every shingle that two or more have. ``ranges``: a power of two."""
+    bounds = np.arange(ranges + 1, dtype=np.uint64) << np.uint64(SHINGLE_BITS - (ranges.bit_length() - 1))
+
+    def blocks(held: list[np.ndarray], times: list[np.ndarray]) -> pd.DataFrame:
+        values, counts = np.concatenate(held), np.concatenate(times)
+        order = np.argsort(values)
+        values = values[order]
+        first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, dtype=np.int64)
+        counts = np.add.reduceat(counts[order], first) if len(first) else counts
+        values, rows = values[first], []
+        cuts = np.searchsorted(values, bounds)
+        for k in np.flatnonzero(np.diff(cuts)):
+            v, c = values[cuts[k] : cuts[k + 1]], counts[cuts[k] : cuts[k + 1]]
+            rows.append((int(k), packed_block(v[c == 1]), packed_block(v[c > 1]), c[c > 1].astype("<u8").tobytes()))
+        return pd.DataFrame(rows, columns=["part", "once", "more", "times"])
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, times, size = [], [], 0
         for batch in batches:
-            n += len(batch)
-            for _, group in chunks(batch["text"]):
-                shingles, at = shingle_hashes(*word_hashes(group), WIDTH)
-                bucket = (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-                own = np.unique((np.repeat(np.arange(len(group)), np.diff(at)) << BUCKET_BITS) + bucket)
-                total += np.bincount(own & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS)
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": np.append(some, -1), "n": np.append(total[some], n)})
-
-    sums = docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-    own = sums[sums["bucket"] >= 0]
-    df[own["bucket"].to_numpy()] = own["n"].to_numpy()
-    return df, int(sums.loc[sums["bucket"] < 0, "n"].sum())
-
-
-def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
-    return (np.log((1 + n) / (1 + np.minimum(df, n))) + 1).astype(np.float32)
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two (sorted shingles, weights)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64)
-    most = a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - least
-    return float(least / most) if most > 0 else 0.0
-
-
-def sketches(docs: DataFrame, idf: Broadcast) -> DataFrame:
-    """doc_id, h1, h2 (hash of the text), bands (null without words)."""
+            n = batch["n"].to_numpy()
+            for first, group in chunks(batch["text"]):
+                shingles, _, at = counted_shingles(group)
+                held.append(shingles)
+                times.append(np.repeat(n[first : first + len(group)], np.diff(at)))
+                size += len(shingles)
+                if size >= GATHERED:
+                    yield blocks(held, times)
+                    held, times, size = [], [], 0
+        if size:
+            yield blocks(held, times)
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        once = [unpacked_block(b) for b in rows["once"]]
+        more = [unpacked_block(b) for b in rows["more"]]
+        values = np.concatenate(once + more)
+        times = np.concatenate([np.ones(sum(map(len, once)), dtype=np.int64), *[np.frombuffer(b, dtype="<i8") for b in rows["times"]]])
+        order = np.argsort(values)
+        values = values[order]
+        first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+        df = np.add.reduceat(times[order], first)
+        return pd.DataFrame({"shingle": values[first][df > 1].view(np.int64), "df": df[df > 1]})
+
+    return texts.select("text", "n").mapInPandas(send, "part long, once binary, more binary, times binary").groupBy("part").applyInPandas(count, "shingle long, df long")
+
+
+def heaviest(frequencies: DataFrame, most: int = HEAVY) -> tuple[int, np.ndarray, np.ndarray]:
+    """The least power of two that at most ``most`` frequencies reach, and those shingles, sorted, with their frequencies."""
+    by_size = {r["k"]: r["n"] for r in frequencies.groupBy(F.floor(F.log2("df")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cut, total = 64, 0
+    while cut > 1 and total + by_size.get(cut - 1, 0) <= most:
+        cut -= 1
+        total += by_size.get(cut, 0)
+    least = 1 << min(cut, 62)
+    rows = frequencies.filter(F.col("df") >= least).toPandas().sort_values("shingle")
+    return least, rows["shingle"].to_numpy().astype(np.uint64), rows["df"].to_numpy()
+
+
+def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log((1 + n) / (1 + df)) + 1
+
+
+def known_frequency(shingles: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The frequencies of the heavy ones among the shingles, 1 for the others."""
+    keys, df = heavy
+    if not len(keys):
+        return np.ones(len(shingles), dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+    return np.where(keys[at] == shingles, df[at], 1)
+
+
+def sketches(texts: DataFrame, heavy: Broadcast, total: int) -> DataFrame:
+    """v, bands of every text with words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bands: list = [None] * len(batch)
+            v = batch["v"].to_numpy()
             for first, group in chunks(batch["text"]):
-                shingles, weights, at = weighted_shingles(group, idf.value)
+                shingles, count, at = counted_shingles(group)
                 if not len(shingles):
                     continue
-                drawn = samples(shingles, weights, at).reshape(-1, BANDS, ROWS)
+                drawn = samples(shingles, count * inverse_frequency(known_frequency(shingles, heavy.value), total), at).reshape(-1, BANDS, ROWS)
                 keys = np.zeros(drawn.shape[:2], dtype=np.uint64)
                 for k in range(ROWS):
                     keys = mix64(keys ^ drawn[:, :, k])
-                for i, row in zip(np.flatnonzero(np.diff(at) > 0), keys.view(np.int64), strict=True):
-                    bands[first + i] = row
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "h1": batch["h1"], "h2": batch["h2"], "bands": bands})
+                yield pd.DataFrame({"v": v[first + np.flatnonzero(np.diff(at) > 0)], "bands": list(keys.view(np.int64))})
 
-    base = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), "text")
-    return base.mapInPandas(run, "doc_id long, h1 long, h2 long, bands array<long>")
+    return texts.select("v", "text").mapInPandas(run, "v long, bands array<long>")
 
 
-def bucketed(unique: DataFrame) -> DataFrame:
-    """(v, key): the documents of each bucket, and of each two neighbouring buckets. ``unique``: v, bands."""
-    single = F.transform("bands", lambda x, i: F.xxhash64(i, x))
-    double = F.transform(F.sequence(F.lit(0), F.size("bands") - 1), lambda i: F.xxhash64(i, F.element_at("bands", i + 1), F.element_at("bands", (i + 1) % F.size("bands") + 1), F.lit(2)))
-    return unique.filter("bands is not null").select("v", F.explode(F.concat(single, double)).alias("key"))
+def weighted_lists(texts: DataFrame, wanted: Broadcast, repeated: Broadcast, heavy: Broadcast, frequencies: DataFrame, total: int) -> DataFrame:
+    """v, total, shingles, weights: the repeated shingles of the wanted texts, in order, and the weight of all of them.
 
+    ``wanted`` is a bitmap of texts, ``repeated`` one of shingles of frequency two or more that are not heavy.
+    """
 
-def with_ends(keyed: DataFrame) -> DataFrame:
-    """v, key, low, high: buckets of two or more documents, with their least and largest."""
-    # written before it is joined: a join of two plain shuffles is one whose hot bucket Spark can split
-    ends = materialised(keyed.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low <> high"))
-    return keyed.join(ends, "key")
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[in_bitmap(wanted.value, batch["v"].to_numpy())]
+            v, rows = batch["v"].tolist(), []
+            for first, group in chunks(batch["text"]):
+                shingles, count, at = counted_shingles(group)
+                df = known_frequency(shingles, heavy.value)
+                known = df > 1
+                asked = ~known & in_bitmap(repeated.value, shingles.view(np.int64))
+                weight = count * inverse_frequency(df, total)
+                for i in range(len(group)):
+                    own = slice(at[i], at[i + 1])
+                    s, c, w, k, q = shingles[own].view(np.int64), count[own], weight[own], known[own], asked[own]
+                    rows.append((v[first + i], w[~k & ~q].sum(), s[k], w[k], s[q], c[q]))
+            yield pd.DataFrame(rows, columns=["v", "alone", "known", "weights", "asked", "counts"])
+
+    rows = texts.select("v", "text").mapInPandas(ask, "v long, alone double, known array<long>, weights array<double>, asked array<long>, counts array<long>")
+    rows = materialised(rows)
+    pairs = lambda a, b: F.explode(F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y")))
+    asked = rows.select("v", pairs("asked", "counts").alias("p")).select("v", F.col("p.x").alias("shingle"), F.col("p.y").alias("c")).join(frequencies, "shingle", "left")
+    weight = F.col("c") * (F.log(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(1)))) + 1)
+    asked = asked.select("v", F.when(F.col("df").isNotNull(), F.col("shingle")).alias("shingle"), weight.alias("w"))
+    known = rows.select("v", pairs("known", "weights").alias("p")).select("v", F.col("p.x").alias("shingle"), F.col("p.y").alias("w"))
+    every = asked.unionByName(known).unionByName(rows.select("v", F.lit(None).cast("long").alias("shingle"), F.col("alone").alias("w")))
+    lists = every.groupBy("v").agg(F.sum("w").alias("total"), F.array_sort(F.collect_list(F.when(F.col("shingle").isNotNull(), F.struct("shingle", "w")))).alias("l"))
+    return materialised(lists.select("v", "total", F.col("l.shingle").alias("shingles"), F.col("l.w").alias("weights")))
+
+
+def similarity(a: tuple, b: tuple) -> float:
+    """Weighted Jaccard similarity of two (total, sorted shingles, weights)."""
+    if len(a[1]) > len(b[1]):
+        a, b = b, a
+    if not len(a[1]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[1], a[1]), len(b[1]) - 1)
+    least = float(np.minimum(a[2], b[2][at])[b[1][at] == a[1]].sum())
+    most = a[0] + b[0] - least
+    return least / most if most > 0 else 0.0
+
+
+def verified(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold, with it."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sides = [list(zip(batch[f"total_{x}"], batch[f"shingles_{x}"], batch[f"weights_{x}"], strict=True)) for x in "ab"]
+            out = batch[["a", "b"]].assign(similarity=[similarity(x, y) for x, y in zip(*sides, strict=True)])
+            yield out[out["similarity"] >= threshold - 1e-12]
 
-def links_of(buckets: DataFrame) -> DataFrame:
-    """Distinct (a, b): a document and the least or largest of one of its buckets."""
-    return buckets.select("v", F.explode(F.array_distinct(F.array("low", "high"))).alias("b")).filter("v <> b").select(F.least("v", "b").alias("a"), F.greatest("v", "b").alias("b")).distinct()
+    side = lambda x: lists.select(F.col("v").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("total", "shingles", "weights")])
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long, similarity double")
 
 
-def linked(unique: DataFrame, docs: DataFrame, idf: Broadcast, threshold: float) -> DataFrame:
-    """v, label of every document that is near another one of a bucket.
+def with_ends(keyed: DataFrame, salt: int, slots: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(v, key, band, ends) of the buckets of two or more texts, and (key, ends): the least and largest of each slot, by v (salt 0) or by a draw."""
+    rank = F.struct((F.col("v") if salt == 0 else F.xxhash64("v", "key", F.lit(salt))).alias("rank"), F.col("v").alias("at"))
+    slot = F.lit(0) if slots == 1 else F.pmod(F.xxhash64("v", "key", F.lit(-salt)), F.lit(slots))
+    ends = keyed.groupBy("key", slot.alias("slot")).agg(F.min(rank)["at"].alias("low"), F.max(rank)["at"].alias("high"))
+    ends = ends.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list(F.array("low", "high")))).alias("ends")).filter("size(ends) > 1")
+    # written before it is joined: a join of two plain shuffles is one whose hot bucket Spark can split
+    ends = materialised(ends)
+    return materialised(keyed.join(ends, "key")), ends
 
-    The documents of a bucket are compared with its least and largest. Those that
-    are in neither's class are compared again among themselves, with new ends,
-    until no bucket holds two; a bucket of n unlike documents takes n / 2 rounds.
-    A document is not compared with those that joined an end's class.
-    """
-    buckets = materialised(with_ends(bucketed(unique)))
-    done = materialised(links_of(buckets))
-    near = materialised(verified(done, docs, idf, threshold))
-    while True:
+
+def links_of(buckets: DataFrame) -> DataFrame:
+    """Distinct (a, b): a text and an end of one of its buckets."""
+    return buckets.select("v", F.explode("ends").alias("b")).filter("v <> b").select(F.least("v", "b").alias("a"), F.greatest("v", "b").alias("b")).distinct()
+
+
+def narrower(rest: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The rows of ``rest`` (v, key, band) in the buckets that each of the next two bands makes of theirs."""
+    ahead = F.explode(F.array(*[F.pmod(F.col("band") + step, F.lit(BANDS)) for step in (1, 2)]))
+    rows = rest.join(sketched, "v").select("v", "key", "bands", ahead.alias("band"))
+    return rows.select("v", F.xxhash64("key", "band", F.element_at("bands", F.col("band") + 1)).alias("key"), "band").distinct()
+
+
+def linked(sketched: DataFrame, verify, threshold: float = THRESHOLD) -> DataFrame | None:
+    """v, label of every text that is near another one of a bucket; ``verify(pairs)`` gives the near pairs (a, b). ``sketched``: v, bands."""
+    single = F.transform("bands", lambda x, i: F.struct(F.xxhash64(i, x).alias("key"), i.alias("band")))
+    buckets, ends = with_ends(sketched.select("v", F.inline(single)), 0)
+    done = near = labels = None
+    depth = 0
+    while not ends.isEmpty():
+        pairs = links_of(buckets)
+        pairs = materialised(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        found = materialised(verify(pairs).select("a", "b"))
+        done, near = (pairs, found) if done is None else (done.union(pairs), near.union(found))
         labels = components(near)
-        name = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"{c}_label"))
-        named = buckets.join(name("v"), "v", "left").join(name("low"), "low", "left").join(name("high"), "high", "left")
-        rest = named.filter("v <> low and v <> high and coalesce(v_label, v) <> coalesce(low_label, low) and coalesce(v_label, v) <> coalesce(high_label, high)")
-        buckets = materialised(with_ends(materialised(rest.select("v", "key"))))
-        pairs = materialised(links_of(buckets).join(done, ["a", "b"], "left_anti"))
-        if buckets.isEmpty():
-            return labels
-        done = done.union(pairs)
-        near = near.union(materialised(verified(pairs, docs, idf, threshold)))
+        ended = ends.select("key", F.explode("ends").alias("v")).join(labels, "v", "left").groupBy("key").agg(F.collect_set(F.coalesce("label", "v")).alias("taken"))
+        rest = buckets.filter("not array_contains(ends, v)").join(labels, "v", "left").join(ended, "key").filter("not array_contains(taken, coalesce(label, v))").select("v", "key", "band")
+        depth += 1
+        rest = materialised(narrower(rest, sketched) if depth <= DEPTH else rest)
+        buckets, ends = with_ends(rest, depth, 1 << max(0, depth - DEPTH))
+    return labels
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, text_hash: bool = False) -> DataFrame:
+    """doc_id, class_id for every row with an id; class_id is the least id of the class. With ``text_hash`` also v, xxhash64 of the text."""
+    spark = docs.sparkSession
+    ids = materialised(docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("v"), F.length("text").cast("long").alias("size")))
+    whole = ids.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).collect()[0]
+    texts = distinct_texts(docs, ids)
+    ranges = 1 << max(7, int(whole["size"] // RANGE_CHARS).bit_length())
+    frequencies = materialised(document_frequencies(texts, ranges))
+    least, keys, df = heaviest(frequencies)
+    heavy = spark.sparkContext.broadcast((keys, df))
+    sketched = materialised(sketches(texts, heavy, whole["n"]))
+    rare = frequencies.filter(F.col("df") < least)
+    state: dict = {}
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        if "lists" not in state:  # all later pairs are of texts that share a bucket with another one in the first round
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("v"))
+            wanted, repeated = bitmap(ends, "v"), bitmap(rare, "shingle")
+            state["lists"] = weighted_lists(texts, spark.sparkContext.broadcast(wanted), spark.sparkContext.broadcast(repeated), heavy, rare, whole["n"])
+        return verified(pairs, state["lists"], threshold)
+
+    labels = linked(sketched, verify, threshold)
+    first = ids.groupBy("v").agg(F.min("doc_id").alias("first"))
+    if labels is None:
+        named = first.withColumnRenamed("first", "class_id")
+    else:
+        joined = materialised(first.join(labels, "v").select("v", "label", "first"))
+        least_id = joined.groupBy("label").agg(F.min("first").alias("least"))
+        named = first.join(joined.select("v", "label"), "v", "left").join(least_id, "label", "left").select("v", F.coalesce("least", "first").alias("class_id"))
+    found = ids.filter(F.col("doc_id").isNotNull()).join(materialised(named), "v").select("doc_id", "class_id", "v")
+    alone = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNull()).select(F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("v"))
+    every = found.unionByName(alone)
+    return every if text_hash else every.drop("v")
 
 
 def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -188,39 +358,6 @@ def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return left.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: Broadcast, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold, with it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, value = None, None
-        for batch in batches:
-            sims, others = [], batch["text_b"].tolist()
-            for first, group in chunks(batch["text_a"]):
-                shingles, weights, at = weighted_shingles(group, idf.value)
-                for i in range(len(group)):
-                    tb = others[first + i]
-                    if known != tb:
-                        known, value = tb, weighted_shingles([tb], idf.value)[:2]
-                    sims.append(similarity((shingles[at[i] : at[i + 1]], weights[at[i] : at[i + 1]]), value))
-            out = batch[["a", "b"]].assign(similarity=sims)
-            yield out[out["similarity"] >= threshold]
-
-    return with_texts(pairs, docs).mapInPandas(run, "a long, b long, similarity double")
-
-
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id for every row with an id; class_id is the least id of the class."""
-    sc = docs.sparkSession.sparkContext
-    idf = sc.broadcast(inverse_frequencies(*document_frequencies(docs)))
-    sketched = checkpointed(sketches(docs, idf))
-    first = sketched.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("v"), "bands")).alias("m")).select("h1", "h2", "m.v", "m.bands")
-    labels = linked(first.select("v", "bands"), docs, idf, threshold)
-    named = first.select("h1", "h2", "v").join(labels, "v", "left").select("h1", "h2", F.coalesce("label", "v").alias("class_id"))
-    found = sketched.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "class_id")
-    alone = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNull()).select(F.col("doc_id").cast("long").alias("doc_id")).withColumn("class_id", F.col("doc_id"))
-    return found.unionByName(alone)
-
-
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return classes(table(spark, sf_dir, "documents"))

@@ -11,15 +11,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm.ann import search
+from sparkloom.llm.common import bitmap, in_bitmap
 from sparkloom.llm.langid import viterbi
 from sparkloom.llm.merkle import fingerprints
 from sparkloom.llm.mixing import mix_plan
-from sparkloom.llm.neardup import classes, linked
+from sparkloom.llm.neardup import BANDS, classes, counted_shingles, document_frequencies, linked, packed_block, samples, unpacked_block
 from sparkloom.llm.packing import SumOfSquares, WordCache, pack_documents, packed, tokenizer_path
 from sparkloom.llm.passages import aligned, compact_windows, near_passages, regions
 from sparkloom.llm.secrets import redacted, scan
 from sparkloom.llm.sharding import shard_documents
 from sparkloom.llm.suffixes import remove_repeats
+from sparkloom.llm.textkit import mix64
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string"
 
@@ -71,14 +73,104 @@ def test_near_duplicates(docs):
     assert sorted(i for i in found if found[i] != i) == [4, 5]
 
 
+def near_classes(ids: list[int], texts: list[str]) -> dict[int, int]:
+    """All pairs: weighted Jaccard by exact frequencies, classes as components, each named by its least id."""
+    shingles, count, at = counted_shingles(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+    _, which = np.unique(shingles, return_inverse=True)
+    df = np.bincount(which)
+    weight = count * (np.log((1 + len(texts)) / (1 + df)) + 1)[which]
+    total, order, starts = np.bincount(owner, weights=weight, minlength=len(texts)), np.argsort(which, kind="stable"), np.append(0, np.cumsum(df))
+    shared = np.zeros((len(texts), len(texts)))
+    for k in np.flatnonzero(df > 1):
+        rows = order[starts[k] : starts[k + 1]]
+        shared[np.ix_(owner[rows], owner[rows])] += np.minimum.outer(weight[rows], weight[rows])
+    near = shared / np.maximum(total[:, None] + total - shared, 1e-300) >= 0.8 - 1e-12
+    found: dict[int, int] = {}
+    for i in range(len(texts)):
+        if ids[i] in found:
+            continue
+        todo, seen = [i], {i}
+        while todo:
+            k = todo.pop()
+            more = {j for j in np.flatnonzero(near[k]).tolist() if j not in seen} | {j for j in range(len(texts)) if texts[j] == texts[k] and j not in seen}
+            seen |= more
+            todo += more
+        found |= {ids[j]: min(ids[m] for m in seen) for j in seen}
+    return found
+
+
+def test_classes_equal_all_pairs(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text is not null").collect()]
+    rng = np.random.default_rng(6)
+    for i, (_, text) in enumerate(rows[:60]):
+        edited = text.split(" ")
+        for at in rng.integers(0, len(edited), max(1, len(edited) // [200, 60, 30][i % 3])):
+            edited[at] = "edited"
+        rows.append((100_000 + i, " ".join(edited)))
+    found = {r["doc_id"]: r["class_id"] for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == near_classes(*map(list, zip(*rows, strict=True)))
+
+
+def test_document_frequencies_are_exact(spark):
+    texts = [words(i % 7, 40) + " " + words(i, 9) for i in range(60)]
+    rows = spark.createDataFrame([(i, t, 1 + i % 3) for i, t in enumerate(texts)], "v long, text string, n long")
+    expected: Counter = Counter()
+    for i, t in enumerate(texts):
+        expected.update({int(x): 1 + i % 3 for x in counted_shingles([t])[0]})
+    assert {r["shingle"]: r["df"] for r in document_frequencies(rows, 128).collect()} == {k: n for k, n in expected.items() if n > 1}
+    values = np.unique(np.random.default_rng(0).integers(0, 1 << 56, 1000)).astype(np.uint64)
+    for part in (values, values[:1], values[:0]):
+        assert unpacked_block(packed_block(part)).tolist() == part.tolist()
+
+
+def test_bitmaps_hold_their_keys(spark):
+    keys = spark.range(0, 500).select((F.col("id") * 7919 - 99).alias("k"))
+    bits, own = bitmap(keys, "k"), np.array([r["k"] for r in keys.collect()])
+    assert in_bitmap(bits, own).all() and in_bitmap(bits, np.arange(10**6, 2 * 10**6)).mean() < 0.001
+
+
+def banded(spark, sets: list[np.ndarray]):
+    at = np.append(0, np.cumsum([len(s) for s in sets]))
+    drawn, keys = samples(np.concatenate(sets), np.ones(at[-1]), at).reshape(len(sets), BANDS, -1), np.zeros((len(sets), BANDS), dtype=np.uint64)
+    for k in range(drawn.shape[2]):
+        keys = mix64(keys ^ drawn[:, :, k])
+    return spark.createDataFrame([(i, row) for i, row in enumerate(keys.view(np.int64).tolist())], "v long, bands array<long>")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b))
+    return both / (len(a) + len(b) - both)
+
+
+def near_sets(sets: list[np.ndarray]):
+    def verify(pairs):
+        rows = [(r["a"], r["b"]) for r in pairs.collect()]
+        return pairs.sparkSession.createDataFrame([p for p in rows if jaccard(sets[p[0]], sets[p[1]]) >= 0.8], "a long, b long")
+
+    return verify
+
+
+def test_near_ones_among_templates_are_linked(spark):
+    """100 pairs at 0.86 among 200 sets that are all at 0.74: at least nine tenths of the pairs that are near are linked."""
+    rng = np.random.default_rng(1)
+    fresh = lambda: rng.integers(1, 1 << 55, 300).astype(np.uint64)
+    template, sets = fresh(), []
+    for _ in range(100):
+        one = np.where(rng.random(300) < (2 * 0.74 / 1.74) ** 0.5, template, fresh())
+        sets += [np.unique(one), np.unique(np.where(rng.random(300) < 2 * 0.86 / 1.86, one, fresh()))]
+    label = {r["v"]: r["label"] for r in linked(banded(spark, sets), near_sets(sets)).collect()}
+    near = [i for i in range(0, 200, 2) if jaccard(sets[i], sets[i + 1]) >= 0.8]
+    assert sum(i in label and label[i] == label.get(i + 1) for i in near) >= 0.9 * len(near) > 80
+
+
 def test_near_ones_between_the_ends_of_a_bucket_are_linked(spark):
-    """Documents 1 to 4 meet in one bucket; 2 and 3 are near each other, not near its ends."""
-    near = words(7, 200)
-    texts = [words(5, 200), near, near + " more", words(6, 200)]
-    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    idf = spark.sparkContext.broadcast(np.ones(1 << 18, dtype=np.float32))
-    labels = linked(spark.createDataFrame([(i, [1, 2]) for i in range(1, 5)], "v long, bands array<long>"), docs, idf, 0.8)
-    assert {(r["v"], r["label"]) for r in labels.collect()} == {(2, 2), (3, 2)}
+    """Sets 0 to 3 meet in one bucket; 1 and 2 are near each other, not near its ends."""
+    rng = np.random.default_rng(0)
+    one = rng.integers(1, 1 << 55, 100).astype(np.uint64)
+    sets = [rng.integers(1, 1 << 55, 100).astype(np.uint64), one, np.append(one, np.uint64(7)), rng.integers(1, 1 << 55, 100).astype(np.uint64)]
+    labels = linked(spark.createDataFrame([(i, [5] * BANDS) for i in range(4)], "v long, bands array<long>"), near_sets(sets))
+    assert {(r["v"], r["label"]) for r in labels.collect()} == {(1, 1), (2, 1)}
 
 
 def test_passages_hold_the_shared_one(docs):
