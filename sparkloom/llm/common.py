@@ -43,12 +43,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Rows that a Python worker of this session holds at a time from now on: texts can be long, and Spark's default is ten times as many."""
+    """Rows and bytes that a Python worker of this session is sent at a time from now on: texts and lists can be long, and Spark's defaults are far larger."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 BUCKETS = 1 << 18

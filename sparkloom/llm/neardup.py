@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bitmap, bounded_batches, in_bitmap, likely, materialised, table
-from .graph import components
+from .graph import components, extended
 from .textkit import chunks, mix64, shingle_hashes, word_hashes
 
 BANDS, ROWS = 12, 3
@@ -298,14 +298,17 @@ def linked(sketched: DataFrame, verify, threshold: float = THRESHOLD) -> DataFra
     """v, label of every text that is near another one of a bucket; ``verify(pairs)`` gives the near pairs (a, b). ``sketched``: v, bands."""
     single = F.transform("bands", lambda x, i: F.struct(F.xxhash64(i, x).alias("key"), i.alias("band")))
     buckets, ends = with_ends(sketched.select("v", F.inline(single)), 0)
-    done = near = labels = None
+    done = labels = None
     depth = 0
     while not ends.isEmpty():
         pairs = links_of(buckets)
         pairs = materialised(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         found = materialised(verify(pairs).select("a", "b"))
-        done, near = (pairs, found) if done is None else (done.union(pairs), near.union(found))
-        labels = components(near)
+        done = pairs if done is None else done.union(pairs)
+        if labels is None:
+            labels = components(found)
+        elif not found.isEmpty():
+            labels = extended(labels, found)
         ended = ends.select("key", F.explode("ends").alias("v")).join(labels, "v", "left").groupBy("key").agg(F.collect_set(F.coalesce("label", "v")).alias("taken"))
         rest = buckets.filter("not array_contains(ends, v)").join(labels, "v", "left").join(ended, "key").filter("not array_contains(taken, coalesce(label, v))").select("v", "key", "band")
         depth += 1
