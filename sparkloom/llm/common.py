@@ -30,12 +30,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def materialised(df: DataFrame) -> DataFrame:
     """Cut the lineage with a written table in the shared folder: columnar and compressed, for many narrow rows."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"

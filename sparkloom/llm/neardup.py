@@ -12,9 +12,9 @@ inverse document frequency, which is counted exactly over all documents.
    their frequencies; any other counts as unique there. A shared shingle can
    only weigh more by that, so near documents are not sampled apart.
 4. Banding: a bucket's documents are compared with its two ends, the least and
-   largest. Those that are in neither's class go on to smaller buckets, by two
-   further bands each, for ``DEPTH`` rounds; then they meet again, with twice as
-   many ends each round, until no bucket holds two of them.
+   largest. Those that are in neither's class go on to four smaller buckets each,
+   of two further bands, for ``DEPTH`` rounds; then they meet again, with four
+   times as many ends each round, until no bucket holds two of them.
 5. Each pair is verified by the exact weighted Jaccard similarity: the candidates'
    repeated shingles are joined with the exact frequencies (rare ones alone are
    joined, so no key is hot), and what is unique counts in a document's total.
@@ -49,7 +49,9 @@ BANDS, ROWS = 12, 3
 THRESHOLD = 0.8
 WIDTH = 5
 HEAVY = 1 << 20
-DEPTH = 6
+DEPTH = 3
+#: The further bands of a smaller bucket, as steps from the last one.
+STEPS = ((1, 2), (1, 3), (2, 3), (2, 4))
 #: Bits of a shingle's hash, shingles that a task gathers before it sends blocks, characters of text for each hash range.
 SHINGLE_BITS, GATHERED, RANGE_CHARS = 56, 2_000_000, 1 << 25
 
@@ -288,23 +290,21 @@ def links_of(buckets: DataFrame) -> DataFrame:
 
 
 def narrower(rest: DataFrame, sketched: DataFrame) -> DataFrame:
-    """The rows of ``rest`` (v, key, band) in the buckets that each of the next two bands makes of theirs."""
-    ahead = F.explode(F.array(*[F.pmod(F.col("band") + step, F.lit(BANDS)) for step in (1, 2)]))
-    rows = rest.join(sketched, "v").select("v", "key", "bands", ahead.alias("band"))
-    return rows.select("v", F.xxhash64("key", "band", F.element_at("bands", F.col("band") + 1)).alias("key"), "band").distinct()
+    """The rows of ``rest`` (v, key, band) in the buckets that each of STEPS makes of theirs."""
+    band = lambda step: F.pmod(F.col("band") + step, F.lit(BANDS))
+    value = lambda step: F.element_at("bands", band(step) + 1)
+    made = F.array(*[F.struct(F.xxhash64("key", band(i), value(i), band(j), value(j)).alias("key"), band(j).alias("band")) for i, j in STEPS])
+    return rest.join(sketched, "v").select("v", F.inline(made)).distinct()
 
 
 def linked(sketched: DataFrame, verify, threshold: float = THRESHOLD) -> DataFrame | None:
     """v, label of every text that is near another one of a bucket; ``verify(pairs)`` gives the near pairs (a, b). ``sketched``: v, bands."""
     single = F.transform("bands", lambda x, i: F.struct(F.xxhash64(i, x).alias("key"), i.alias("band")))
     buckets, ends = with_ends(sketched.select("v", F.inline(single)), 0)
-    done = labels = None
+    labels = None
     depth = 0
     while not ends.isEmpty():
-        pairs = links_of(buckets)
-        pairs = materialised(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        found = materialised(verify(pairs).select("a", "b"))
-        done = pairs if done is None else done.union(pairs)
+        found = materialised(verify(materialised(links_of(buckets))).select("a", "b"))
         if labels is None:
             labels = components(found)
         elif not found.isEmpty():
@@ -313,7 +313,7 @@ def linked(sketched: DataFrame, verify, threshold: float = THRESHOLD) -> DataFra
         rest = buckets.filter("not array_contains(ends, v)").join(labels, "v", "left").join(ended, "key").filter("not array_contains(taken, coalesce(label, v))").select("v", "key", "band")
         depth += 1
         rest = materialised(narrower(rest, sketched) if depth <= DEPTH else rest)
-        buckets, ends = with_ends(rest, depth, 1 << max(0, depth - DEPTH))
+        buckets, ends = with_ends(rest, depth, 4 ** max(0, depth - DEPTH))
     return labels
 
 
