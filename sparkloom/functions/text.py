@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the words that make a leading comment a licence header.
 LICENSE = r"(?i)licen[sc]e|copyright|\(c\) \d{4}"
-#: Line break and indent, word with at most one blank before, up to three digits, run of signs, blanks, other space.
-CHUNK = r"\r?\n[ \t]*| ?[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z_\x{80}-\x{10FFFF}]*| ?[0-9]{1,3}| ?[^A-Za-z0-9_\s\x{80}-\x{10FFFF}]+|[ \t]+|\s"
+# Fixed value: the pre-tokenizer's pieces. Line break and indent, word with at most one blank before, up to three digits, run of signs, blanks, other space.
+CHUNK = r"\n[ \t]*| ?[A-Za-z_][A-Za-z0-9_]*| ?[0-9]{1,3}| ?[^\sA-Za-z0-9_]+|[ \t]+|\s"
+# Phrases of prompt templates, by the kind of task they ask for, in the order in which they are looked for.
+TASK_PHRASES = {
+    "docstring": ("Write a docstring", "Document this Python function"), "class": ("Explain this class", "class for?"),
+    "explain": ("What does this Python function do?", "Explain this code"), "complete": ("Complete this Python function", "Fill in the body"),
+}
+BUGFIX_STARTS = ("This function has a bug", "Fix the bug", "Why is this function wrong")
 
 
 def trimmed(text: Column) -> Column:
@@ -21,7 +29,9 @@ def lines(text: Column) -> Column:
 
 
 def mean_line_length(text: Column) -> Column:
-    return F.aggregate(lines(text), F.lit(0).cast("long"), lambda s, x: s + F.length(x)) / F.size(lines(text))
+    """Mean characters of a line, as lines() splits them, by counting line breaks: no array of lines is made."""
+    body = F.regexp_replace(text, r"\r?\n$", "")
+    return F.length(F.regexp_replace(body, r"\r?\n", "")) / (F.regexp_count(body, F.lit(r"\n")) + 1)
 
 
 def without_license(text: Column) -> Column:
@@ -34,7 +44,7 @@ def without_license(text: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
+    return F.regexp_extract_all(text, F.lit("(?U)" + CHUNK), F.lit(0))
 
 
 def chat(prompt: Column, response: Column) -> Column:
@@ -52,10 +62,39 @@ def masked_task(prompt: Column) -> Column:
     return F.regexp_replace(prompt, r"`[A-Za-z_]\w*([(`])", "`F$1")
 
 
+def is_bugfix(prompt: Column) -> Column:
+    return reduce(lambda a, b: a | b, [prompt.startswith(p) for p in BUGFIX_STARTS])
+
+
 def task_kind(prompt: Column) -> Column:
     """Ordered rules; the first that holds names the task."""
-    low = F.lower(prompt)
-    return F.when(low.contains("docstring"), "docstring").when(low.contains("class"), "class").when(low.startswith("explain"), "explain").when(low.contains("complete"), "complete").when(low.contains("fix") | low.contains("bug"), "bugfix").otherwise("write")
+    kind = F.lit("write")
+    kind = F.when(is_bugfix(prompt), "bugfix").otherwise(kind)
+    for name, phrases in reversed(TASK_PHRASES.items()):
+        kind = F.when(reduce(lambda a, b: a | b, [prompt.contains(p) for p in phrases]), name).otherwise(kind)
+    return kind
+
+
+def docstring_summary(doc: Column) -> Column:
+    """The first paragraph on one line; null if it is not 15 to 300 characters, opens like markup or speaks of unfinished work."""
+    first = F.element_at(F.split(trimmed(doc), "\n\n"), 1)
+    line = trimmed(F.regexp_replace(first, r"\s*\n\s*", " "))
+    fits = F.length(line).between(15, 300) & ~line.rlike(r"^(>>>|:|@)") & ~line.rlike(r"(?i)deprecated|todo|xxx|internal use|undocumented")
+    return F.when(fits, line)
+
+
+def as_task(summary: Column) -> Column:
+    """'Return the sum.' as 'returns the sum.': the verb in the third person, and a full stop."""
+    verb, rest = F.substring_index(summary, " ", 1), F.regexp_extract(summary, r"(?s)^[^ ]* (.*)$", 1)
+    low = F.lower(verb)
+    plain = verb.rlike(r"^[A-Z][a-z]+$")
+    third = F.when(low.endswith("s") | low.isin("is", "has"), low).when(low.rlike("(sh|ch|x|o)$"), F.concat(low, F.lit("es"))).otherwise(F.concat(low, F.lit("s")))
+    task = trimmed(F.concat(F.when(plain, third).otherwise(verb), F.lit(" "), rest))
+    return F.when(task.rlike(r"[.?!]$"), task).otherwise(F.concat(task, F.lit(".")))
+
+
+def source_group(tag: Column) -> Column:
+    return F.substring_index(tag, ":", 1)
 
 
 def middle_cut(text: Column, limit: int, note: str = "\n[...]\n") -> Column:

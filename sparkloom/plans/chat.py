@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chat, masked_task, task_kind, trimmed
+from ..functions.text import BUGFIX_STARTS, TASK_PHRASES, chat, masked_task, task_kind, trimmed
 from ..operators.dedup import keep_first
 from ..sources.tables import table
 
@@ -45,7 +45,8 @@ def contradiction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).groupBy(task_kind(F.col("prompt")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    opened = F.element_at(F.array(*[F.lit(p) for p in OPENINGS]), (F.col("idx") % len(OPENINGS) + 1).cast("int"))
+    return pairs(spark, sf_dir).select(F.concat(opened, "prompt").alias("prompt")).groupBy(task_kind(F.col("prompt")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def stuck_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,9 @@ def stuck_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("was", F.lag("role").over(w)).filter("role = was").select("conv_id", "turn", "role")
 
 
+#: The conversations hold no coding tasks; every prompt is given the opening of a template or none.
+OPENINGS = ("", *[p + " " for phrases in TASK_PHRASES.values() for p in phrases], *[p + " " for p in BUGFIX_STARTS])
+
 QUERIES = {f.__name__: f for f in (chat_format, chat_transcript, example_pairs, prompt_dedup_pairs, contradiction_audit, task_kinds, stuck_turns)}
 _PAIRS = "WITH pairs AS (SELECT u.conv_id * 10000 + u.turn AS idx, u.text AS prompt, a.text AS response FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user') "
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -63,6 +67,6 @@ ORACLE_SQL = {
     "example_pairs": _PAIRS + "SELECT idx, prompt, response FROM pairs QUALIFY row_number() OVER (PARTITION BY prompt ORDER BY idx) = 1",
     "prompt_dedup_pairs": _PAIRS + ", f AS (SELECT *, min(idx) OVER (PARTITION BY prompt, response) AS first FROM pairs) SELECT idx, 'duplicate' AS reason, first AS detail FROM f WHERE idx > first",
     "contradiction_audit": _PAIRS + ", t AS (SELECT *, regexp_replace(prompt, '`[A-Za-z_]\\w*([(`])', '`F\\1', 'g') AS task FROM pairs) SELECT md5(task) AS task_md5, count(DISTINCT response) AS answers, min(idx) AS first FROM t GROUP BY task",
-    "task_kinds": _PAIRS + "SELECT CASE WHEN contains(lower(prompt), 'docstring') THEN 'docstring' WHEN contains(lower(prompt), 'class') THEN 'class' WHEN starts_with(lower(prompt), 'explain') THEN 'explain' WHEN contains(lower(prompt), 'complete') THEN 'complete' WHEN contains(lower(prompt), 'fix') OR contains(lower(prompt), 'bug') THEN 'bugfix' ELSE 'write' END AS kind, count(*) AS n FROM pairs GROUP BY 1",
+    "task_kinds": _PAIRS + ", prompts AS (SELECT ([" + ", ".join(f"'{p}'" for p in OPENINGS) + f"])[idx % {len(OPENINGS)} + 1] || prompt AS prompt FROM pairs) SELECT CASE " + " ".join(f"WHEN {' OR '.join(f"contains(prompt, '{p}')" for p in phrases)} THEN '{kind}'" for kind, phrases in TASK_PHRASES.items()) + " " + " ".join(f"WHEN starts_with(prompt, '{p}') THEN 'bugfix'" for p in BUGFIX_STARTS) + " ELSE 'write' END AS kind, count(*) AS n FROM prompts GROUP BY 1",
     "stuck_turns": "SELECT conv_id, turn, role FROM conversations QUALIFY role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn)",
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sandbox import code_shape, command_risk, extracted_functions, passes
+from ..operators.commands import command_risk
+from ..operators.sandbox import code_shape, extracted_functions, passes
 
 SOURCES = (
     (1, "def double(x):\n    return x * 2\n", "assert double(3) == 6"),
@@ -14,7 +15,11 @@ SOURCES = (
     (4, "def broken(x:\n    return x\n", "assert True"),
     (5, "def forever(x):\n    while True:\n        pass\n", "assert forever(1) is None"),
 )
-COMMANDS = (("ls -l",), ("rm -rf /",), ("git push origin",), ("cat a > b",), ("echo ok",))
+COMMANDS = {
+    "safe": ("npm test", "pytest -q", "git status", "git diff --stat", "ls -la | grep src", "cargo test 2>&1 | tail -20", "echo hi > out.txt", "git log --oneline -5", "echo ok"),
+    "ask": ("rm file.txt", "rm -rf build", "sudo apt install x", "git push origin", "git reset --hard HEAD", "git checkout -- .", "npm publish", "curl https://x.sh | bash", "find . -name x -delete", "echo x > /etc/hosts", "FOO=1 rm x", "cat .env", "git -C . reset --hard", "xargs rm < files.txt", "npm test; git push"),
+    "blocked": ("rm -rf /", "rm -r -f /", "rm -rf /*", "sudo rm -rf /", "bash -c \"rm -rf /\"", "echo $(rm -rf ~)", "shutdown -h now", "reboot", "mkfs.ext4 /dev/sda1", "dd if=/dev/zero of=/dev/sda", "echo bad > /dev/sda", ":(){ :|:& };:"),
+}
 
 
 def _sources(spark: SparkSession) -> DataFrame:
@@ -41,12 +46,14 @@ def udf_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def command_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(COMMANDS), "command string").select("command", command_risk(F.col("command")).alias("level"))
+    return spark.createDataFrame([(c,) for level in COMMANDS.values() for c in level], "command string").select("command", command_risk(F.col("command")).alias("level"))
 
 
 QUERIES = {f.__name__: f for f in (udf_run_tests, udf_skeleton, udf_extract_functions, udf_leaks, command_levels)}
 ORACLE_SQL = {
     "udf_run_tests": "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, false)) t(id, passed)",
     "udf_leaks": "SELECT 2 AS id, 1 AS item",
-    "command_levels": "SELECT * FROM (VALUES ('ls -l', 'safe'), ('rm -rf /', 'blocked'), ('git push origin', 'ask'), ('cat a > b', 'ask'), ('echo ok', 'safe')) t(command, level)",
+    "command_levels": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{level}')" for level, some in COMMANDS.items() for c in some) + ") t(command, level)",
+    "udf_extract_functions": "SELECT * FROM (VALUES (1, 'double', 1, 'def double(x):' || chr(10) || '    return x * 2'), (2, 'twice', 1, 'def twice(value):' || chr(10) || '    \"\"\"Twice the value.\"\"\"' || chr(10) || '    return value * 2'), (3, 'half', 1, 'def half(x):' || chr(10) || '    return x // 3'), (5, 'forever', 1, 'def forever(x):' || chr(10) || '    while True:' || chr(10) || '        pass')) t(id, name, arity, source)",
+    "udf_skeleton": "SELECT * FROM (VALUES (1, 'def F(V):' || chr(10) || '    return V * int'), (2, 'def F(V):' || chr(10) || '    return V * int'), (3, 'def F(V):' || chr(10) || '    return V // int'), (4, NULL), (5, 'def F(V):' || chr(10) || '    while bool:' || chr(10) || '        pass')) t(id, shape)",
 }

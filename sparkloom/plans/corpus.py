@@ -16,8 +16,9 @@ def corpus_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("mean_len", F.round(mean_line_length(F.col("text")), 4))
-    return docs.filter((F.octet_length("text") <= 500_000) & (F.trim("text") != "") & (F.col("mean_len") <= 200)).select("doc_id", "mean_len")
+    """At most 500,000 bytes, no NUL in the first 4,096, not blank, lines of 200 characters at most on average."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter((F.octet_length("text") <= 500_000) & F.col("text").rlike(r"\S") & (F.instr(F.left("text", F.lit(4096)), "\0") == 0))
+    return docs.select("doc_id", F.round(mean_line_length(F.col("text")), 4).alias("mean_len")).filter("mean_len <= 200")
 
 
 def strip_license(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,24 +67,39 @@ def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depths.select(F.array_join(F.slice("p", 1, F.col("depth")), "/").alias("path"), F.col("depth").cast("long").alias("depth")).groupBy("path", "depth").agg(F.count(F.lit(1)).alias("pages"))
 
 
-MUTATIONS = (("the", "teh"), ("and", "nad"), (",", ";"), (".", "!"))
+# Single-line mutations (old, new).
+MUTATIONS = (
+    (" + 1)", ")"), ("<=", "<"), (">=", ">"), (" < ", " <= "), (" > ", " >= "), ("[::-1]", ""), ("[0]", "[-1]"), ("[-1]", "[0]"), ("max(", "min("), ("min(", "max("), (".upper()", ".lower()"),
+    (".lower()", ".upper()"), ("reverse=True", "reverse=False"), (" not in ", " in "), (" in ", " not in "), ("x * x", "x * 2"), ("return a\n", "return b\n"), ("return b\n", "return a\n"), ("+= 1", "+= 2"),
+    ("[:n]", "[:n - 1]"), ("[n:]", "[n + 1:]"), ("startswith", "endswith"), ("endswith", "startswith"), ("[i:i + size]", "[i:i + size - 1]"), ("== 0", "!= 0"), (" // ", " / "), ("2 * (", "("),
+    (" < ", " > "), (" > ", " < "), (" <= ", " >= "), (" >= ", " <= "),
+)
+#: Code lines that stand before each text, since the texts hold prose.
+SNIPPET = "def f(a, b, n):\n    for i in range(n + 1):\n        if a[i] <= b and i > 0:\n            a = max(a[::-1], key=len)\n    return a\n"
 
 
 def text_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line of the benchmark texts with each mutation that applies, as a count per item and mutation."""
+    """Each line with each mutation that applies, its first occurrence replaced; lines that begin a function or a docstring are left alone."""
     changes = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in MUTATIONS])
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).select("item_id", "line", "content", F.inline(changes))
-    rows = rows.filter(F.expr("contains(content, old)"))
-    return rows.select("item_id", F.col("line").cast("long").alias("line"), "old", F.md5(F.expr("replace(content, old, new)")).alias("mutated_md5"))
+    lines = F.split(F.concat(F.lit(SNIPPET), "text"), "(?<=\n)", -1)
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(lines).alias("line", "content"))
+    rows = rows.filter(~F.ltrim("content").startswith("def ") & ~F.ltrim("content").startswith('"""')).select("item_id", "line", "content", F.inline(changes)).filter(F.expr("contains(content, old)"))
+    mutated = F.expr("concat(left(content, instr(content, old) - 1), new, substring(content, instr(content, old) + length(old)))")
+    return rows.select("item_id", F.col("line").cast("long").alias("line"), "old", "new", F.md5(mutated).alias("mutated_md5"))
+
+
+def _quoted(text: str) -> str:
+    """A DuckDB string literal."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
 QUERIES = {f.__name__: f for f in (corpus_exact_dedup, corpus_quality_filter, strip_license, license_lines, chunk_counts, bpe_pair_counts, content_fingerprint, regex_search, glob_filter, tree_listing, text_mutations)}
-_CHUNK_SQL = r"\r?\n[ \t]*| ?[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z_\x{80}-\x{10FFFF}]*| ?[0-9]{1,3}| ?[^A-Za-z0-9_\s\x{80}-\x{10FFFF}]+|[ \t]+|\s"
+_CHUNK_SQL = r"\n[ \t]*| ?[A-Za-z_][A-Za-z0-9_]*| ?[0-9]{1,3}| ?[^\sA-Za-z0-9_]+|[ \t]+|\s"
 _LINES = "string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10))"
 ORACLE_SQL = {
     "corpus_exact_dedup": "SELECT min(doc_id) AS doc_id, sha1(text) AS text_sha1 FROM documents GROUP BY sha1(text)",
     "corpus_quality_filter": f"""WITH l AS (SELECT doc_id, text, {_LINES} AS a FROM documents), m AS (SELECT doc_id, text, round(list_sum(list_transform(a, lambda x: length(x)))::DOUBLE / len(a), 4) AS mean_len FROM l)
-        SELECT doc_id, mean_len FROM m WHERE strlen(text) <= 500000 AND trim(text) <> '' AND mean_len <= 200""",
+        SELECT doc_id, mean_len FROM m WHERE strlen(text) <= 500000 AND regexp_matches(text, '\\S') AND NOT contains(left(text, 4096), chr(0)) AND mean_len <= 200""",
     "strip_license": "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '^((#[^\\n]*|[ \\t]*)\\n)+', '') ELSE text END) AS text_md5 FROM documents",
     "license_lines": f"SELECT doc_id, len(list_filter({_LINES}, lambda x: regexp_matches(x, '(?i)licen[sc]e|copyright|\\(c\\) \\d{{4}}')))::BIGINT AS n_lines FROM documents WHERE n_lines > 0",
     "chunk_counts": f"SELECT doc_id, len(regexp_extract_all(text, '{_CHUNK_SQL}'))::BIGINT AS n_chunks FROM documents",
@@ -96,5 +112,8 @@ ORACLE_SQL = {
     "glob_filter": "SELECT page_id, url FROM pages WHERE url LIKE '%1%'",
     "tree_listing": """WITH p AS (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages), d AS (SELECT p, unnest(range(1, least(3, len(p)) + 1)) AS depth FROM p)
         SELECT array_to_string(p[1:depth], '/') AS path, depth::BIGINT AS depth, count(*) AS pages FROM d GROUP BY 1, 2""",
-    "text_mutations": "WITH l AS (SELECT item_id, string_split(text, chr(10)) AS a FROM benchmark), p AS (SELECT item_id, unnest(a) AS content, unnest(range(0, len(a))) AS line FROM l), m(old, new) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in MUTATIONS) + ") SELECT item_id, line::BIGINT AS line, old, md5(replace(content, old, new)) AS mutated_md5 FROM p JOIN m ON contains(content, old)",
+    "text_mutations": f"""WITH l AS (SELECT item_id, string_split({_quoted(SNIPPET)} || text, chr(10)) AS a FROM benchmark), p AS (SELECT item_id, unnest(a) AS c, unnest(range(0, len(a))) AS line, len(a) AS n FROM l),
+        k AS (SELECT item_id, line, c || CASE WHEN line < n - 1 THEN chr(10) ELSE '' END AS content FROM p), m(old, new) AS (VALUES """ + ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in MUTATIONS) + """)
+        SELECT item_id, line::BIGINT AS line, old, new, md5(left(content, instr(content, old) - 1) || new || substr(content, instr(content, old) + length(old))) AS mutated_md5
+        FROM k JOIN m ON contains(content, old) WHERE NOT starts_with(ltrim(content), 'def ') AND NOT starts_with(ltrim(content), '\"\"\"')""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import uniform, uniform_sql
 from ..functions.text import chunks
+from ..operators.draws import smallest_draws
 from ..operators.ordered import running_before, top_per_group, within_budget
 from ..sources.tables import table
 from .corpus import _CHUNK_SQL
@@ -34,8 +35,11 @@ def lost_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose draw is under 2 % are validation: the same row falls on the same side in every run and size."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(uniform(SEED, F.col("doc_id")) < 0.02, "val").otherwise("train").alias("split"))
+    """The first max(1, floor(2 %)) rows in the order of a draw are validation."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", uniform(SEED, F.col("doc_id")).alias("u"))
+    quota = F.greatest(F.lit(1), F.floor(F.col("__all") * 0.02))
+    val = smallest_draws(docs, "u", "doc_id", [], quota).select(F.col("doc_id").alias("val_id"))
+    return docs.join(val, F.col("doc_id") == F.col("val_id"), "left").select("doc_id", F.when(F.col("val_id").isNotNull(), "val").otherwise("train").alias("split"))
 
 
 def budget_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +63,9 @@ def cap_per_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stratified_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30 % of each (language, source), by draw; no stratum is ordered as a whole."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", uniform(SEED, F.col("doc_id")).alias("u"))
-    stratum = Window.partitionBy("lang", "source")
-    ranked = docs.withColumn("r", F.row_number().over(stratum.orderBy("u", "doc_id"))).withColumn("n", F.count(F.lit(1)).over(stratum))
-    return ranked.filter(F.col("r") <= F.round(F.col("n") * 0.3)).select("doc_id", "lang", "source")
+    return smallest_draws(docs, "u", "doc_id", ["lang", "source"], F.round(F.col("__all") * 0.3)).select("doc_id", "lang", "source")
 
 
 def systematic_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +98,7 @@ ORACLE_SQL = {
     "tokens_by_source": f"WITH t AS (SELECT source, len(regexp_extract_all(text, '{_CHUNK_SQL}')) AS n FROM documents), g AS (SELECT source, count(*) AS examples, sum(n)::BIGINT AS tokens FROM t GROUP BY source) SELECT *, round(tokens / (sum(tokens) OVER ())::DOUBLE, 4) AS token_share FROM g",
     "variant_group_scores": "SELECT lang, coalesce(source, '*') AS source, count(*) AS tasks, sum(quality)::BIGINT AS passed FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang), (lang, source))",
     "lost_by_category": "SELECT l.lang, s.source, (SELECT count(*) FROM labels JOIN documents d USING (doc_id) WHERE quality = 0 AND d.lang = l.lang AND d.source = s.source) AS lost FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT DISTINCT source FROM documents) s",
-    "train_val_split": f"SELECT doc_id, CASE WHEN {_U} < 0.02 THEN 'val' ELSE 'train' END AS split FROM documents",
+    "train_val_split": f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_U}, doc_id) <= greatest(1, floor(count(*) OVER () * 0.02)) THEN 'val' ELSE 'train' END AS split FROM documents",
     "budget_cutoff": f"WITH r AS (SELECT doc_id, n_chars, (coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before FROM documents) SELECT * FROM r WHERE before < {BUDGET}",
     "sft_offsets": "SELECT doc_id, (coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, n_chars AS length FROM documents",
     "weighted_replay": f"WITH m AS (SELECT doc_id, lang, round(pow({_U}, (sum(n_chars) OVER (PARTITION BY lang))::DOUBLE / count(*) OVER (PARTITION BY lang) / n_chars), 9) AS key FROM documents) SELECT doc_id, lang, key FROM m QUALIFY row_number() OVER (PARTITION BY lang ORDER BY key DESC, doc_id) <= 20",

@@ -79,22 +79,36 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select(F.round(F.element_at("v", int(RESAMPLES * 0.025) + 1), 4).alias("low"), F.round(F.element_at("v", RESAMPLES - int(RESAMPLES * 0.025)), 4).alias("high"))
 
 
+KEY = ("p_brand", "p_type", "p_size")
+
+
 def minimal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of equal brand and size that differ in type alone: the nearest by key above. One row per part."""
-    w = Window.partitionBy("p_brand", "p_size").orderBy("p_partkey")
-    ranked = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_type", F.lead("p_partkey").over(w).alias("other"), F.lead("p_type").over(w).alias("other_type"))
-    return ranked.filter("p_type <> other_type").select("p_partkey", "other", "p_type", "other_type")
+    """For each part and each attribute: the next part by key that differs in that attribute alone.
+
+    Parts of two equal attributes stand in order of their key; where the third changes
+    a run of equal values begins, and the next run's first part is the answer for a whole run.
+    """
+    parts, found = table(spark, sf_dir, "part").select("p_partkey", *KEY), []
+    for third in KEY:
+        group = [k for k in KEY if k != third]
+        w = Window.partitionBy(*group)
+        begins = F.when(~F.col(third).eqNullSafe(F.lag(third).over(w.orderBy("p_partkey"))), F.col("p_partkey"))
+        nearest = F.last("begins", ignorenulls=True).over(w.orderBy(F.desc("p_partkey")).rowsBetween(Window.unboundedPreceding, -1))
+        found.append(parts.withColumn("begins", begins).withColumn("other", nearest).filter("other is not null").select("p_partkey", F.lit(third).alias("varied"), "other"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def nearest_by_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each benchmark item the document that shares most of its four-word grams; ties to the smaller id."""
+    """For each benchmark item the document with the largest Jaccard similarity of four-word grams, among those with half to ten times its grams; ties to the smaller id."""
     gram = lambda: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " "))))
     grams = lambda t, key: table(spark, sf_dir, t).select(key, F.split(F.lower("text"), r"\s+").alias("w")).select(key, gram().alias("gram"))
     items, docs = grams("benchmark", "item_id"), grams("documents", "doc_id")
-    sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    size = lambda rows, key, name: rows.groupBy(key).agg(F.count(F.lit(1)).alias(name))
     shared = items.join(docs, "gram").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    best = shared.groupBy("item_id").agg(F.max(F.struct("shared", (-F.col("doc_id")).alias("m"))).alias("b"))
-    return best.join(sizes, "item_id").select("item_id", (-F.col("b.m")).alias("doc_id"), F.col("b.shared").alias("shared"), "n")
+    both = shared.join(size(items, "item_id", "n"), "item_id").join(size(docs, "doc_id", "m"), "doc_id").filter("m between n / 2 and 10 * n")
+    scored = both.withColumn("similarity", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 9))
+    best = scored.groupBy("item_id").agg(F.max(F.struct("similarity", (-F.col("doc_id")).alias("m"), "shared")).alias("b"))
+    return best.select("item_id", (-F.col("b.m")).alias("doc_id"), F.col("b.shared").alias("shared"), F.col("b.similarity").alias("similarity"))
 
 
 QUERIES = {f.__name__: f for f in (benchmark_contamination, clean_view_scores, paired_compare, gained_lost, sign_test, pass_at_k, auc_rank, bootstrap_ci, minimal_pairs, nearest_by_jaccard)}
@@ -115,6 +129,8 @@ ORACLE_SQL = {
     "bootstrap_ci": f"""WITH per AS (SELECT doc_id % 50 AS unit, sum(n_chars) AS s, count(*) AS c FROM labels JOIN documents USING (doc_id) GROUP BY 1), u AS (SELECT row_number() OVER (ORDER BY unit) AS i, s, c, count(*) OVER () AS m FROM per),
         d AS (SELECT r.range AS r, (floor({uniform_sql(11, "r.range || ':' || u.i")} * m) + 1)::BIGINT AS i FROM u, range({RESAMPLES}) r), v AS (SELECT r, sum(s)::DOUBLE / sum(c) AS v FROM d JOIN u USING (i) GROUP BY r), o AS (SELECT list_sort(list(v)) AS v FROM v)
         SELECT round(v[{int(RESAMPLES * 0.025) + 1}], 4) AS low, round(v[{RESAMPLES - int(RESAMPLES * 0.025)}], 4) AS high FROM o""",
-    "minimal_pairs": "WITH r AS (SELECT p_partkey, p_type, lead(p_partkey) OVER w AS other, lead(p_type) OVER w AS other_type FROM part WINDOW w AS (PARTITION BY p_brand, p_size ORDER BY p_partkey)) SELECT p_partkey, other, p_type, other_type FROM r WHERE p_type <> other_type",
-    "nearest_by_jaccard": f"WITH i AS ({_GRAMS.format(k='item_id', t='benchmark')}), d AS ({_GRAMS.format(k='doc_id', t='documents')}), s AS (SELECT item_id, doc_id, count(*) AS shared FROM i JOIN d USING (gram) GROUP BY 1, 2), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1) SELECT item_id, doc_id, shared, n FROM s JOIN n USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) = 1",
+    "minimal_pairs": " UNION ALL ".join(f"SELECT a.p_partkey, '{third}' AS varied, min(b.p_partkey) AS other FROM part a JOIN part b ON b.p_partkey > a.p_partkey AND a.{third} <> b.{third}" + "".join(f" AND a.{k} = b.{k}" for k in KEY if k != third) + " GROUP BY a.p_partkey" for third in KEY),
+    "nearest_by_jaccard": f"""WITH i AS ({_GRAMS.format(k='item_id', t='benchmark')}), d AS ({_GRAMS.format(k='doc_id', t='documents')}), s AS (SELECT item_id, doc_id, count(*) AS shared FROM i JOIN d USING (gram) GROUP BY 1, 2),
+        n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1), m AS (SELECT doc_id, count(*) AS m FROM d GROUP BY 1), j AS (SELECT item_id, doc_id, shared, round(shared::DOUBLE / (n + m - shared), 9) AS similarity FROM s JOIN n USING (item_id) JOIN m USING (doc_id) WHERE m BETWEEN n / 2.0 AND 10 * n)
+        SELECT item_id, doc_id, shared, similarity FROM j QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) = 1""",
 }

@@ -33,8 +33,8 @@ def final_state(stream: DataFrame, mode: str) -> DataFrame:
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts and means by event type, with a watermark of a day."""
     day = F.window("ts", "1 day")
-    per = event_stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy(day.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
-    return final_state(per.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "mean"), "complete")
+    per = event_stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy(day.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round(F.col("value") * 100).cast("long")) / F.count(F.lit(1)), 2).alias("mean_cents"))
+    return final_state(per.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "mean_cents"), "complete")
 
 
 def stream_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (stream_metrics, stream_exposure, stream_dedup)}
 ORACLE_SQL = {
-    "stream_metrics": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2",
+    "stream_metrics": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(round(value * 100)::BIGINT)::DOUBLE / count(*), 2) AS mean_cents FROM events GROUP BY 1, 2",
     "stream_exposure": "SELECT user_id, count(*) AS rows, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1",
     "stream_dedup": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
 }
