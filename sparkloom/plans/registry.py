@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming import metrics
-from . import chat, code, corpus, mixture, scoring, selection, sequences
+from . import chat, code, corpus, experiments, mixture, scoring, selection, sequences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (corpus, chat, mixture, selection, scoring, sequences, code, metrics):
+for module in (corpus, chat, mixture, selection, scoring, experiments, sequences, code, metrics):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
