@@ -9,6 +9,11 @@ combined by Fisher's method. Benjamini-Hochberg control within strata of
 encoding and length then decides which tokens are *not* random; tokens that stay
 and carry enough bits for the battery to tell them from prose are secrets.
 
+The hypothesis that is rejected is randomness, so the control bounds the share of
+random tokens among those let go (lost secrets), not that of false alarms. Tokens
+of one case of letters, capitalised words and tokens without a digit count as
+words and are not tested.
+
 The p-values of a stratum are counted in a fixed histogram of -log10 p, so the
 control sees every token of the corpus through a table of bounded size.
 
@@ -25,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import likely, materialised, table, text_or_empty
 
 # The base patterns of the contract, and the length that a match must have.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -168,16 +173,21 @@ def _shown(spans: Column) -> Column:
 def scan(docs: DataFrame, level: float = FDR, min_bits: float = MIN_BITS) -> DataFrame:
     """docs with n_assign, n_access, n_hex, base and spans (arrays of start, kind, stop), one row per input row.
 
-    Rows are keyed by a hash of id and text: rows that agree in both have the same spans.
-    The columns that the caller selects are shuffled by the key to meet the spans of random tokens: short
-    span lists if the text is not among them. A random token inside a base span adds nothing.
+    Rows are keyed by a hash of id and text: rows that agree in both have the same spans. A first pass reads tokens
+    alone, and those of secrets are a small written table; the second matches the base patterns. Only rows whose key may be
+    in that table are shuffled to join it. A random token inside a base span adds nothing.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
-    df = with_base_spans(docs.withColumn("__text", text_or_empty()).withColumn("__row", F.xxhash64("doc_id", "__text")), "__text")
-    small = df.select(F.col("__row").alias("row"), F.filter(matches(F.col("__text"), TOKEN), lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["stop"] <= b["stop"]))).alias("tokens"))
-    extra = random_spans(small.filter(F.size("tokens") > 0).groupBy("row").agg(F.first("tokens").alias("tokens")), level, min_bits)
-    joined = df.join(extra.select(F.col("row").alias("__row"), F.col("random").alias("__random")), "__row", "left").drop("__row", "__text")
-    return joined.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("__random", F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)"))))).drop("__random")
+    docs = docs.withColumn("__text", text_or_empty()).withColumn("__row", F.xxhash64("doc_id", "__text"))
+    small = docs.select(F.col("__row").alias("row"), matches(F.col("__text"), TOKEN).alias("tokens")).filter(F.size("tokens") > 0)
+    extra = materialised(random_spans(small.groupBy("row").agg(F.first("tokens").alias("tokens")), level, min_bits))
+    named = extra.select(F.col("row").alias("__key"), F.col("random").alias("__random"))
+    asked = likely(docs, named, "__row", key="__key").join(named, F.col("__row") == F.col("__key"), "left").drop("__key")
+    others = likely(docs, named, "__row", key="__key", inverse=True).withColumn("__random", F.lit(None).cast(extra.schema["random"].dataType))
+    joined = with_base_spans(asked.unionByName(others), "__text").drop("__row", "__text")
+    outside = lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["stop"] <= b["stop"]))
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)")
+    return joined.withColumn("spans", F.array_sort(F.concat("base", F.coalesce(F.filter("__random", outside), none)))).drop("__random")
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
