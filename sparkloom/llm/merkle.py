@@ -49,21 +49,28 @@ def likeness(a: str, b: str) -> Column:
 
 
 def differing(a: str, b: str) -> Column:
-    """Positions of the paragraphs of ``a`` that no paragraph of ``b`` equals: where the edits are."""
-    return F.filter(F.transform(f"{a}paragraphs", lambda p, i: F.when(~F.array_contains(f"{b}paragraphs", p), i)), lambda i: i.isNotNull())
+    """``first:stop``, the paragraphs of ``a`` from the first branch that differs from ``b`` to past the last; empty for equal trees. Branches are compared from both ends, so an edit that adds or drops paragraphs moves nothing else."""
+    same = lambda x, y: F.zip_with(x, y, lambda p, q: p.eqNullSafe(q))
+    first = F.array_position(same(F.col(f"{a}paragraphs"), F.col(f"{b}paragraphs")), F.lit(False)) - 1
+    last = F.array_position(same(F.reverse(f"{a}paragraphs"), F.reverse(f"{b}paragraphs")), F.lit(False)) - 1
+    stop = F.greatest(F.size(f"{a}paragraphs") - last, first)
+    return F.when(first < 0, F.lit("")).otherwise(F.concat_ws(":", first.cast("string"), stop.cast("string")))
 
 
 def with_next_text(docs: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """doc_id, text, next_text: the text of the next row in descending doc_id; after the last, the first.
 
-    Rows meet in blocks of 2**bits neighbouring ids, so a task holds a bounded
-    number of ids and texts are shuffled once. Each block also gets, as its last
+    Rows meet in blocks of neighbouring ids, of about 2**bits rows by the mean gap between ids,
+    so a task holds a bounded number of them and texts are shuffled once. Rows without an id come last, by
+    text, in blocks of equal first bytes. Each block also gets, as its last
     row, the head of the next block below; heads come from a partial aggregate.
     The order of blocks is found over superblocks of blocks.
     """
     base = docs.select("doc_id", text_or_empty().alias("text"))
-    none = F.lit(-(1 << 62))
-    base = base.withColumn("block", F.coalesce(F.shiftright(F.col("doc_id").cast("long"), bits), none))
+    whole = docs.agg(F.min(F.col("doc_id").cast("long")).alias("a"), F.max(F.col("doc_id").cast("long")).alias("b"), F.count("doc_id").alias("n")).first()
+    gap = (whole["b"] - whole["a"]) // max(1, whole["n"]) if whole["n"] else 0
+    none = F.lit(-(1 << 62)) + F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 3)), 6, "0"), 16, 10).cast("long"), F.lit(0))
+    base = base.withColumn("block", F.coalesce(F.shiftright(F.col("doc_id").cast("long"), bits + max(0, gap.bit_length() - 1)), none))
     order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1)).alias("id"), F.col("text"))
     heads = base.groupBy("block").agg(F.max(order).alias("head"))
     blocks = base.select("block").distinct().withColumn("over", F.shiftright("block", bits))
@@ -91,6 +98,7 @@ def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("own_").alias("fingerprint"), fingerprint("edited_").alias("edited_fingerprint"),
         likeness("own_", "edited_").alias("near_edited"), likeness("own_", "next_").alias("near_next"),
+        differing("edited_", "own_").alias("edited_paragraphs"),
     )
 
 
@@ -114,6 +122,8 @@ SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
   concat_ws('|', r1, array_to_string(s1, ','), array_to_string(p1, ','), array_to_string(f1, ',')) AS fingerprint,
   concat_ws('|', r2, array_to_string(s2, ','), array_to_string(p2, ','), array_to_string(f2, ',')) AS edited_fingerprint,
   CASE WHEN r1 = r2 THEN 1.0::DOUBLE ELSE coalesce(len(list_intersect(f1, f2))::DOUBLE / nullif(greatest(len(list_distinct(f1)), len(list_distinct(f2))), 0), 0) END AS near_edited,
-  CASE WHEN r1 = r3 THEN 1.0::DOUBLE ELSE coalesce(len(list_intersect(f1, f3))::DOUBLE / nullif(greatest(len(list_distinct(f1)), len(list_distinct(f3))), 0), 0) END AS near_next
+  CASE WHEN r1 = r3 THEN 1.0::DOUBLE ELSE coalesce(len(list_intersect(f1, f3))::DOUBLE / nullif(greatest(len(list_distinct(f1)), len(list_distinct(f3))), 0), 0) END AS near_next,
+  CASE WHEN p1 = p2 THEN '' ELSE (list_position(list_transform(list_zip(p2, p1), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false) - 1) || ':' || greatest(len(p2) - (list_position(list_transform(list_zip(list_reverse(p2), list_reverse(p1)), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false) - 1),
+    list_position(list_transform(list_zip(p2, p1), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false) - 1) END AS edited_paragraphs
 FROM r
 """
