@@ -26,19 +26,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textkit import _WORD, chunks, mix64, prefix_hashes, powers
+from .textkit import _WORD, CHUNK, chunks, mix64, prefix_hashes, powers
 
 TRIGRAM_BITS, WORD_BITS = 16, 17
 PER_LANGUAGE = 2000
 SWITCH = 8.0
 BLOCK = 32
 UNKNOWN = "und"
-# Scripts by the lead byte of a character's UTF-8 form: first byte of each range.
-SCRIPT_STARTS = {"latin": 0, "greek": 0xCE, "cyrillic": 0xD0, "semitic": 0xD6, "indic": 0xE0, "symbols": 0xE2, "kana": 0xE3, "han": 0xE4, "hangul": 0xEA, "other": 0xEE}
-_SCRIPT = np.searchsorted(np.array(list(SCRIPT_STARTS.values())), np.arange(256), side="right").astype(np.int8) - 1
-_SCRIPT[:0xC0] = 0
-_LETTER = np.zeros(256, dtype=np.int64)
-_LETTER[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = 1
+# First code points of Unicode's blocks, by the script of their letters; "common" holds no letters.
+SCRIPT_STARTS = (
+    (0, "common"), (0x41, "latin"), (0x5B, "common"), (0x61, "latin"), (0x7B, "common"), (0xAA, "latin"), (0xAB, "common"), (0xB5, "latin"), (0xB6, "common"), (0xBA, "latin"), (0xBB, "common"),
+    (0xC0, "latin"), (0xD7, "common"), (0xD8, "latin"), (0xF7, "common"), (0xF8, "latin"), (0x2B0, "common"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"),
+    (0x700, "other"), (0x900, "indic"), (0xE00, "thai"), (0xF00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "other"), (0x1780, "khmer"),
+    (0x1800, "other"), (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "indic"), (0x1D00, "latin"), (0x1DC0, "common"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "common"), (0x2C60, "latin"),
+    (0x2C80, "other"), (0x2D00, "georgian"), (0x2D30, "other"), (0x2DE0, "cyrillic"), (0x2E00, "common"), (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, "common"), (0x31F0, "kana"),
+    (0x3200, "common"), (0x3400, "han"), (0xA000, "other"), (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "indic"), (0xA960, "hangul"), (0xA980, "other"), (0xAB30, "latin"),
+    (0xAB70, "other"), (0xAC00, "hangul"), (0xE000, "common"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "armenian"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, "common"), (0xFE70, "arabic"),
+    (0xFEFF, "common"), (0xFF21, "latin"), (0xFF3B, "common"), (0xFF41, "latin"), (0xFF5B, "common"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "common"), (0x10000, "other"), (0x1F000, "common"),
+    (0x20000, "han"), (0x40000, "common"),
+)
+SCRIPTS = ("common", *dict.fromkeys(name for _, name in SCRIPT_STARTS if name != "common"))
+_STARTS, _NAMES = np.array([start for start, _ in SCRIPT_STARTS]), np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS], dtype=np.int8)
+_ASCII = _NAMES[np.searchsorted(_STARTS, np.arange(128), side="right") - 1]
+
+
+def scripts_of(data: np.ndarray) -> np.ndarray:
+    """The script of each character of UTF-8 bytes, at its first byte; 0 (common) at all other places."""
+    script = np.zeros(len(data), dtype=np.int8)
+    plain = data < 128
+    script[plain] = _ASCII[data[plain]]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int64)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & (0x7F >> size)
+        for k in range(1, 4):
+            more = data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 0x3F
+            point = np.where(size > k, point << 6 | more, point)
+        script[lead] = _NAMES[np.searchsorted(_STARTS, point, side="right") - 1]
+    return script
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, ...]:
@@ -56,8 +82,9 @@ def features(texts: list[str]) -> tuple[np.ndarray, ...]:
     h, (_, down) = prefix_hashes(data), powers(len(data) + 1)
     word = (mix64((h[stops] - h[starts]) * down[starts]) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     if len(starts):
-        script = np.maximum.reduceat(_SCRIPT[data], starts)
-        prefix = np.concatenate([[0], np.cumsum(_LETTER[data])])
+        own = scripts_of(data)
+        script = np.maximum.reduceat(own, starts)
+        prefix = np.concatenate([[0], np.cumsum(own > 0)])
         letters = prefix[stops] - prefix[starts]
     else:
         script, letters = np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.int64)
@@ -166,7 +193,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     languages = sorted(sizes)
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, per_language / sizes[lang])))])
     chosen = train.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
-    shapes = (("t", 1 << TRIGRAM_BITS), ("w", 1 << WORD_BITS), ("s", len(SCRIPT_STARTS)))
+    shapes = (("t", 1 << TRIGRAM_BITS), ("w", 1 << WORD_BITS), ("s", len(SCRIPTS)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[str, str], np.ndarray] = {}
@@ -206,11 +233,13 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], switch: float
         model = broadcast.value
         for batch in batches:
             best, score, found = [], [], []
-            for _, group in chunks(batch["text"]):
+            for _, group in chunks(batch["text"], max(20_000, CHUNK * 64 // max(64, len(model.languages) ** 2))):  # a block's matrix has languages squared numbers
                 labels, letters, offsets = model.label(group, switch)
                 for i, text in enumerate(group):
                     part, weight = labels[offsets[i] : offsets[i + 1]], letters[offsets[i] : offsets[i + 1]]
                     mass = np.bincount(part, weights=weight, minlength=len(model.languages))
+                    if mass.sum() == 0 and len(part) and any(map(str.isalpha, text)):  # letters of no known block
+                        mass = np.bincount(part, minlength=len(model.languages)).astype(float)
                     if mass.sum() == 0 or not any(map(str.isalpha, text)):
                         best.append(UNKNOWN), score.append(0.0), found.append([])
                         continue
