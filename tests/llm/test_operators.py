@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.ann import search
 from sparkloom.llm.common import bitmap, in_bitmap
-from sparkloom.llm.langid import viterbi
-from sparkloom.llm.merkle import fingerprints
+from sparkloom.llm.langid import SCRIPTS, features, viterbi
+from sparkloom.llm.merkle import differing, fingerprints, with_next_text, with_tree
 from sparkloom.llm.mixing import mix_plan
 from sparkloom.llm.neardup import BANDS, classes, counted_shingles, document_frequencies, linked, packed_block, samples, unpacked_block
 from sparkloom.llm.packing import SumOfSquares, WordCache, pack_documents, packed, tokenizer_path
 from sparkloom.llm.passages import aligned, compact_windows, near_passages, regions
 from sparkloom.llm.secrets import redacted, scan
-from sparkloom.llm.sharding import shard_documents
+from sparkloom.llm.sharding import first_map, shard_documents, sized_records, slot_bytes
 from sparkloom.llm.suffixes import remove_repeats
 from sparkloom.llm.textkit import mix64
 
@@ -248,6 +248,57 @@ def test_sharding_is_gapless(docs):
     assert rows["size"].sum() == sum(len((t[1] or "").encode()) + 1 for t in fixture())
 
 
+def test_shards_are_near_equal_and_the_map_is_edited(spark, tmp_path):
+    """Sizes with a third of the ids null; a stored map is taken up again, and only slots beyond the mean move."""
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 3 == 0 else i, f"{i} " + "x" * int(n)) for i, n in enumerate(rng.integers(50, 90, 6000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = shard_documents(docs).toPandas()
+    sizes = placed.groupby("shard")["size"].sum()
+    assert len(sizes) == 16 and sizes.max() / sizes.mean() < 1.01 and sizes.min() / sizes.mean() > 0.99
+    for _, part in placed.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    assert Counter(placed["text_crc32"]) == Counter(zlib.crc32(t.encode()) for _, t in rows)
+    folder = f"{tmp_path}/map"
+    first_map(slot_bytes(sized_records(docs))).drop("version").write.parquet(f"{folder}/version=1")
+    again = shard_documents(docs, folder=folder).toPandas()
+    assert set(again["version"]) == {2} and again.groupby("shard")["size"].sum().max() / sizes.mean() < 1.01
+    assert spark.read.parquet(folder).select("version").distinct().count() == 2
+    assert (again["vslot"] % 16 != again["shard"]).mean() < 0.2
+
+
+def test_next_texts_with_sparse_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(4)
+    ids = [*map(int, rng.integers(-(1 << 62), 1 << 62, 300)), 5, 5, 6, None, None, None]
+    rows = [(x, f"t{i} \u00e9") for i, x in enumerate(ids)]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), [-b for b in r[1].encode()]))
+    expected = {(r[0], r[1]): order[(i + 1) % len(order)][1] for i, r in enumerate(order)}
+    found = {(r["doc_id"], r["text"]): r["next_text"] for r in with_next_text(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == expected
+
+
+def test_differing_branches_locate_the_edit(spark):
+    rows = spark.createDataFrame([("a.\nb.\nc.\nd.", "a.\nX.\nY.\nd."), ("a.\nb.", "a.\nb."), ("a.\nb.", "a.\nnew.\nb."), ("a.\nb.\nc.", "a.\nc.")], "one string, two string")
+    trees = with_tree(with_tree(rows, "one", "one_"), "two", "two_")
+    assert [r[0] for r in trees.select(differing("two_", "one_")).collect()] == ["1:3", "", "1:2", "1:1"]
+
+
+def test_scripts_are_those_of_the_letters():
+    words = ["vi\u1ec7t", "don\u2019t", "word\u2014word", "\u10d2\u10d0", "\u0434\u0430", "\u65e5\u672c", "12", "\U0001f600"]
+    _, _, _, _, script, letters, _ = features([" ".join(words)])
+    assert [SCRIPTS[s] for s in script] == ["latin", "latin", "latin", "georgian", "cyrillic", "han", "common", "common"]
+    assert letters.tolist() == [4, 4, 8, 2, 2, 2, 0, 0]
+
+
+def test_random_tokens_are_found_and_words_are_not(spark):
+    rng = np.random.default_rng(8)
+    keys = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 40)) for _ in range(30)]
+    plain = ["some-long-slug-about-2024-and-other-things", "path/to/module_2/with/many/parts", "aaaaaaaaaaaaaaaaaaaa11", "ThisIsACamelCaseIdentifierOfCode"]
+    rows = spark.createDataFrame([(i, f"see {k} here") for i, k in enumerate(keys + plain)], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["stop"]) for s in r["spans"]] for r in scan(rows).collect()}
+    assert sum(found[i] == [(4, 44)] for i in range(30)) >= 28 and not any(found[i] for i in range(30, 34))
+
+
 def test_mixing_reaches_all_words(docs):
     per = mix_plan(docs).select("source", "source_size", "target").distinct().toPandas()
     assert per["target"].sum() == pytest.approx(per["source_size"].sum()) and (per["target"] <= 3 * per["source_size"] + 1e-6).all()
