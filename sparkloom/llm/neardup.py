@@ -178,8 +178,16 @@ def heaviest(frequencies: DataFrame, most: int = HEAVY) -> tuple[int, np.ndarray
         cut -= 1
         total += by_size.get(cut, 0)
     least = 1 << min(cut, 62)
-    rows = frequencies.filter(F.col("df") >= least).toPandas().sort_values("shingle")
-    return least, rows["shingle"].to_numpy().astype(np.uint64), rows["df"].to_numpy()
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"shingles": [batch["shingle"].to_numpy().astype("<u8").tobytes()], "dfs": [batch["df"].to_numpy().astype("<i8").tobytes()]})
+
+    # as bytes, 16 a shingle: rows of their own would take far more of the driver's memory
+    rows = frequencies.filter(F.col("df") >= least).mapInPandas(packed, "shingles binary, dfs binary").collect()
+    shingles, dfs = (np.frombuffer(b"".join(r[c] for r in rows), dtype=t) for c, t in (("shingles", "<u8"), ("dfs", "<i8")))
+    order = np.argsort(shingles)
+    return least, shingles[order], dfs[order]
 
 
 def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
