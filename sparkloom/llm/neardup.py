@@ -53,7 +53,7 @@ DEPTH = 3
 #: The further bands of a smaller bucket, as steps from the last one.
 STEPS = ((1, 2), (1, 3), (2, 3), (2, 4))
 #: Bits of a shingle's hash, shingles that a task gathers before it sends blocks, characters of text for each hash range.
-SHINGLE_BITS, GATHERED, RANGE_CHARS = 56, 2_000_000, 1 << 25
+SHINGLE_BITS, GATHERED, RANGE_CHARS = 56, 1_000_000, 1 << 25
 
 
 @lru_cache(1)
