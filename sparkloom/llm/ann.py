@@ -30,7 +30,7 @@ from .common import table
 
 BOOKS, WORDS, BEAM = 12, 256, 4
 SAMPLE = 16_384
-SHORTLIST = 256
+SHORTLIST = 1024
 QUERY_BLOCK, ROW_BLOCK = 1024, 65_536
 
 
