@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..operators.ordered import islands, top_per_group
@@ -63,50 +63,7 @@ def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1000).select(step.alias("step"), F.round(F.when(step < 100, (step + 1) / 100).when(step < 800, F.lit(1.0)).otherwise(decay), 8).alias("lr"))
 
 
-_of = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-#: The grammar: any selection, then any transform, then any aggregate is a program over an array of whole numbers.
-SELECT: dict[str, tuple] = {
-    "all": (lambda a: a, "{a}"), "even": (lambda a: F.filter(a, lambda x: F.pmod(x, F.lit(2)) == 0), "list_filter({a}, lambda x: x % 2 = 0)"), "odd": (lambda a: F.filter(a, lambda x: F.pmod(x, F.lit(2)) == 1), "list_filter({a}, lambda x: x % 2 <> 0)"),
-    "big": (lambda a: F.filter(a, lambda x: x > 5), "list_filter({a}, lambda x: x > 5)"), "first3": (lambda a: F.slice(a, 1, 3), "{a}[1:3]"), "after2": (lambda a: F.slice(a, 3, F.greatest(F.size(a), F.lit(1))), "{a}[3:]"), "rev": (lambda a: F.reverse(a), "list_reverse({a})"),
-    "sorted": (lambda a: F.array_sort(a), "list_sort({a})"), "distinct": (lambda a: F.array_distinct(a), "list_filter({a}, lambda x, i: list_position({a}, x) = i)"), "oddpos": (lambda a: F.filter(a, lambda x, i: i % 2 == 1), "list_filter({a}, lambda x, i: i % 2 = 0)"),
-    "steps": (lambda a: F.zip_with(F.slice(a, 2, F.size(a)), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: x - y), "list_transform(list_zip({a}[2:], {a}[1:len({a}) - 1]), lambda p: p[1] - p[2])"),
-}
-TRANSFORM: dict[str, tuple] = {
-    "id": (lambda a: a, "{a}"), "sq": (lambda a: F.transform(a, lambda x: x * x), "list_transform({a}, lambda x: x * x)"), "dbl": (lambda a: F.transform(a, lambda x: x * 2), "list_transform({a}, lambda x: x * 2)"), "neg": (lambda a: F.transform(a, lambda x: -x), "list_transform({a}, lambda x: -x)"),
-    "abs": (lambda a: F.transform(a, F.abs), "list_transform({a}, lambda x: abs(x))"), "inc": (lambda a: F.transform(a, lambda x: x + 1), "list_transform({a}, lambda x: x + 1)"), "mod3": (lambda a: F.transform(a, lambda x: F.pmod(x, F.lit(3))), "list_transform({a}, lambda x: ((x % 3) + 3) % 3)"), "cap5": (lambda a: F.transform(a, lambda x: F.least(x, F.lit(5).cast("long"))), "list_transform({a}, lambda x: least(x, 5))"),
-}
-AGGREGATE: dict[str, tuple] = {
-    "sum": (_of, "coalesce(list_sum({a}), 0)"), "max": (F.array_max, "list_max({a})"), "min": (F.array_min, "list_min({a})"), "count3": (lambda a: F.size(F.filter(a, lambda x: x > 3)).cast("long"), "len(list_filter({a}, lambda x: x > 3))"),
-    "ndistinct": (lambda a: F.size(F.array_distinct(a)).cast("long"), "len(list_distinct({a}))"), "first": (lambda a: F.when(F.size(a) > 0, F.element_at(a, F.when(F.size(a) > 0, 1))), "{a}[1]"), "last": (lambda a: F.when(F.size(a) > 0, F.element_at(a, F.when(F.size(a) > 0, -1))), "{a}[len({a})]"),
-    "alternating": (lambda a: F.aggregate(a, F.struct(F.lit(0).cast("long").alias("s"), F.lit(1).cast("long").alias("g")), lambda t, x: F.struct((t["s"] + t["g"] * x).alias("s"), (-t["g"]).alias("g")), lambda t: t["s"]), "coalesce(list_sum(list_transform({a}, lambda x, i: CASE WHEN i % 2 = 1 THEN x ELSE -x END)), 0)"),
-}
-
-
-def program(select: str, transform: str, aggregate: str, array: Column) -> Column:
-    return AGGREGATE[aggregate][0](TRANSFORM[transform][0](SELECT[select][0](array)))
-
-
-def _grammar(selects: list[str], transforms: list[str]):
-    names = [(s, t, a) for s in selects for t in transforms for a in AGGREGATE]
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
-        xs = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "q"))), lambda x: x["q"]).alias("xs"))
-        results = F.array(*[F.struct(F.lit("_".join(n)).alias("program"), program(*n, F.col("xs")).cast("long").alias("value")) for n in names])
-        return xs.select(F.inline(results)).groupBy("program").agg(F.count("value").alias("n"), F.sum("value").cast("long").alias("total"))
-
-    def sql() -> str:
-        rows = ", ".join("{'program': '%s', 'value': (%s)::BIGINT}" % ("_".join(n), AGGREGATE[n[2]][1].format(a=TRANSFORM[n[1]][1].format(a=SELECT[n[0]][1].format(a="xs")))) for n in names)
-        return f"WITH x AS (SELECT l_orderkey, list(l_quantity::BIGINT ORDER BY l_linenumber, l_quantity::BIGINT) AS xs FROM lineitem GROUP BY 1), r AS (SELECT unnest([{rows}]) AS r FROM x) SELECT r.program AS program, count(r.value) AS n, sum(r.value)::BIGINT AS total FROM r GROUP BY 1"
-
-    return query, sql()
-
-
-array_grammar_v1, _SQL1 = _grammar(["all", "even", "odd", "big", "first3", "after2"], ["id", "sq", "mod3"])
-array_grammar_v2, _SQL2 = _grammar(["rev", "sorted", "distinct", "oddpos"], ["dbl", "neg", "inc", "cap5"])
-array_grammar_v3, _SQL3 = _grammar(["steps"], ["id", "abs", "neg"])
-
-QUERIES = {f.__name__: f for f in (run_lengths, stuck_runs, running_max, records, longest_rise, best_run_sum, metrics_tail, lr_schedule)} | {"array_grammar_v1": array_grammar_v1, "array_grammar_v2": array_grammar_v2, "array_grammar_v3": array_grammar_v3}
+QUERIES = {f.__name__: f for f in (run_lengths, stuck_runs, running_max, records, longest_rise, best_run_sum, metrics_tail, lr_schedule)}
 _W = "(PARTITION BY user_id ORDER BY ts, event_id)"
 _ISLANDS = f"WITH c AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER {_W} THEN 0 ELSE 1 END AS c FROM events), i AS (SELECT *, sum(c) OVER {_W} AS island FROM c), r AS (SELECT user_id, island, any_value(event_type) AS event_type, count(*) AS length FROM i GROUP BY 1, 2) "
 ORACLE_SQL = {
@@ -118,5 +75,4 @@ ORACLE_SQL = {
     "best_run_sum": f"WITH c AS (SELECT *, round((value - coalesce(lag(value) OVER {_W}, 0)) * 100)::BIGINT AS d FROM events), s AS (SELECT *, sum(d) OVER {_W} AS s FROM c), b AS (SELECT user_id, s - least(0, coalesce(min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM s) SELECT user_id, max(best)::BIGINT AS best_run_sum FROM b GROUP BY 1",
     "metrics_tail": "WITH t AS (SELECT event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 10), m AS (SELECT event_type, round(avg(value), 6) AS tail_mean FROM t GROUP BY 1), e AS (SELECT event_type, arg_min(value, (ts, event_id)) AS first, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY 1) SELECT event_type, tail_mean, first, last FROM m JOIN e USING (event_type)",
     "lr_schedule": "SELECT range AS step, round(CASE WHEN range < 100 THEN (range + 1)::DOUBLE / 100 WHEN range < 800 THEN 1.0::DOUBLE ELSE 0.1 + 0.9 * 0.5 * (1 + cos(3.141592653589793 * (range - 800) / 200)) END, 8)::DOUBLE AS lr FROM range(1000)",
-    "array_grammar_v1": _SQL1, "array_grammar_v2": _SQL2, "array_grammar_v3": _SQL3,
 }

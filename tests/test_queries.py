@@ -7,7 +7,7 @@ from sparkloom.plans.registry import ORACLE_SQL, QUERIES
 from sparkloom.sources.tables import TABLES, table
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"array_grammar_v1", "array_grammar_v2"}
+SLOW = {"array_grammar_v1", "array_grammar_v2", "array_grammar_v4"}
 
 
 @pytest.fixture(scope="module")
