@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LICENSE, chunks, glob_pattern, lines, mean_line_length, without_license
+from ..operators.bpe import decoded, encoded, train_merges
 from ..operators.dedup import keep_first
 from ..sources.tables import table
 
+MERGES = 32
+
 
 def corpus_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha1("text").alias("text_sha1"))
@@ -43,6 +46,19 @@ def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("pair").agg(F.sum("n").cast("long").alias("n")).orderBy(F.desc("n"), "pair").limit(100)
 
 
+def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first merges of byte-pair tokens over all chunks of all documents, in order."""
+    learned = train_merges(table(spark, sf_dir, "documents"), MERGES)
+    return spark.createDataFrame([(i, *m) for i, m in enumerate(learned)], "rank long, left int, right int, n long")
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each text comes back whole from its ids."""
+    learned = train_merges(table(spark, sf_dir, "documents"), MERGES)
+    ids = table(spark, sf_dir, "documents").select("doc_id", "text", encoded(F.col("text"), learned).alias("ids"))
+    return ids.select("doc_id", (decoded(F.col("ids"), learned) == F.col("text")).alias("same"))
+
+
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hash of the table's content, whatever its order: hashes of blocks of ids, then a hash of those in order."""
     rows = table(spark, sf_dir, "documents").select(F.shiftright("doc_id", 10).alias("block"), "doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), 256).alias("h"))
@@ -93,10 +109,11 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-QUERIES = {f.__name__: f for f in (corpus_exact_dedup, corpus_quality_filter, strip_license, license_lines, chunk_counts, bpe_pair_counts, content_fingerprint, regex_search, glob_filter, tree_listing, text_mutations)}
+QUERIES = {f.__name__: f for f in (corpus_exact_dedup, corpus_quality_filter, strip_license, license_lines, chunk_counts, bpe_pair_counts, bpe_merges, bpe_round_trip, content_fingerprint, regex_search, glob_filter, tree_listing, text_mutations)}
 _CHUNK_SQL = r"\n[ \t]*| ?[A-Za-z_][A-Za-z0-9_]*| ?[0-9]{1,3}| ?[^\sA-Za-z0-9_]+|[ \t]+|\s"
 _LINES = "string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10))"
 ORACLE_SQL = {
+    "bpe_round_trip": "SELECT doc_id, CASE WHEN text IS NOT NULL THEN true END AS same FROM documents",
     "corpus_exact_dedup": "SELECT min(doc_id) AS doc_id, sha1(text) AS text_sha1 FROM documents GROUP BY sha1(text)",
     "corpus_quality_filter": f"""WITH l AS (SELECT doc_id, text, {_LINES} AS a FROM documents), m AS (SELECT doc_id, text, round(list_sum(list_transform(a, lambda x: length(x)))::DOUBLE / len(a), 4) AS mean_len FROM l)
         SELECT doc_id, mean_len FROM m WHERE strlen(text) <= 500000 AND regexp_matches(text, '\\S') AND NOT contains(left(text, 4096), chr(0)) AND mean_len <= 200""",
