@@ -1,0 +1,203 @@
+"""What code does when it runs: outcomes of single assertions, and whether two functions behave alike.
+
+Code runs as in ``sandbox``: one isolated interpreter a batch, a limited process
+of its own group for each job, a deadline, no input, an empty folder.
+"""
+
+from __future__ import annotations
+
+import ast
+import json
+import random
+import subprocess
+import sys
+import tempfile
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .hygiene import _parsed
+
+#: Jobs (code, expressions) come in; each gives its own error, the functions it defines and an outcome (value, error) per expression.
+_RUNNER = """
+import json, os, resource, select, signal, sys, time, types
+jobs, limit = json.load(sys.stdin)
+soft = lambda what, n: resource.setrlimit(what, (n, n))
+told = lambda e: [type(e).__name__, str(e)[:200]]
+def outcome(expression, scope):
+    try:
+        return [repr(eval(expression, scope))[:2000], None]
+    except Exception as e:
+        return [None, told(e)]
+def work(code, expressions):
+    scope = {'__name__': 'job'}
+    try:
+        exec(compile(code, 'job', 'exec'), scope)
+    except BaseException as e:
+        return [told(e), [], []]
+    defined = [k for k, v in scope.items() if isinstance(v, types.FunctionType)]
+    return [None, defined, [outcome(x, scope) for x in expressions]]
+for code, expressions in jobs:
+    end, far = os.pipe()
+    child = os.fork()
+    if child == 0:
+        os.setsid()
+        soft(resource.RLIMIT_CPU, int(limit) + 1), soft(resource.RLIMIT_AS, 1 << 30), soft(resource.RLIMIT_FSIZE, 1 << 20), soft(resource.RLIMIT_CORE, 0)
+        quiet = os.open(os.devnull, os.O_RDWR)
+        for stream in (0, 1, 2):
+            os.dup2(quiet, stream)
+        data = json.dumps(work(code, expressions)).encode()
+        while data:
+            data = data[os.write(far, data):]
+        os._exit(0)
+    os.close(far)
+    read, until, late = b'', time.monotonic() + limit, False
+    while True:
+        left = until - time.monotonic()
+        if left <= 0 or not select.select([end], [], [], left)[0]:
+            late = True
+            break
+        part = os.read(end, 65536)
+        if not part:
+            break
+        read += part
+    os.close(end)
+    try:
+        os.killpg(child, signal.SIGKILL)
+    except OSError:
+        os.kill(child, signal.SIGKILL)
+    os.waitpid(child, 0)
+    try:
+        result = json.loads(read)
+    except ValueError:
+        result = [['Timeout' if late else 'Crash', ''], [], []]
+    print(json.dumps(result), flush=True)
+"""
+
+
+def run_expressions(jobs: list[tuple[str, list[str]]], timeout: float = 5.0) -> list[tuple]:
+    """(error or None, defined functions, (value, error) per expression) of each job; never raises."""
+    with tempfile.TemporaryDirectory() as folder:
+        done = subprocess.run([sys.executable, "-I", "-c", _RUNNER], input=json.dumps([jobs, timeout]), text=True, cwd=folder, env={"PATH": ""}, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, check=False)
+    found = [tuple(json.loads(line)) for line in done.stdout.splitlines()]
+    return found + [(["Crash", ""], [], [])] * (len(jobs) - len(found))
+
+
+def _error(e: list[str] | None) -> dict | None:
+    return {"kind": e[0], "msg": e[1]} if e else None
+
+
+_ERROR = "struct<kind:string,msg:string>"
+
+
+def diagnosed(code: Column, tests: Column) -> Column:
+    """Error, defined functions and each assertion (line, call, ok, expected, actual, error) of code and its test block.
+
+    An assertion holds if its own expression is true. Null code is empty, null tests have no assertion.
+    """
+
+    @F.pandas_udf(f"struct<error:{_ERROR},defined:array<string>,asserts:array<struct<line:string,call:string,ok:boolean,expected:string,actual:string,error:{_ERROR}>>>")
+    def run(code: pd.Series, tests: pd.Series) -> pd.DataFrame:
+        parsed = [_parsed(t) if isinstance(t, str) else [] for t in tests]
+        jobs = []
+        for c, some in zip(code, parsed, strict=True):
+            held = [f"bool({ast.unparse(ast.parse(a['line']).body[0].test)})" for a in some]
+            jobs.append((c if isinstance(c, str) else "", [x for h, a in zip(held, some, strict=True) for x in (h, a["call"], a["expected"])]))
+        rows = []
+        for some, (error, defined, results) in zip(parsed, run_expressions(jobs), strict=True):
+            asserts = []
+            for k, a in enumerate(some if not error else ()):
+                (ok, failed), (actual, _), (expected, _) = results[3 * k : 3 * k + 3]
+                asserts.append({"line": a["line"], "call": a["call"], "ok": ok == "True", "expected": expected, "actual": actual, "error": _error(failed)})
+            rows.append({"error": _error(error), "defined": defined, "asserts": asserts})
+        return pd.DataFrame(rows, columns=["error", "defined", "asserts"])
+
+    return run.asNondeterministic()(code, tests)
+
+
+PROBES, COMMON = 40, 5
+LISTS, TEXTS = ("xs", "numbers", "values", "items", "nums", "lst"), ("s", "text", "word", "string", "name")
+
+
+def _probes(names: list[str], n: int) -> list[str]:
+    """Argument lists as source text, drawn by the parameters' names; the same for the same names."""
+    rng = random.Random(",".join(names))
+
+    def value(name: str) -> str:
+        if name in LISTS:
+            return repr([rng.randint(-9, 9) for _ in range(rng.randrange(7))])
+        if name in TEXTS:
+            return repr("".join(rng.choice("abcXYZ 019") for _ in range(rng.randrange(9))))
+        return repr(rng.randint(-20, 20))
+
+    return [", ".join(map(value, names)) for _ in range(n)]
+
+
+def _signature(code: str | None) -> tuple[str, list[str]] | None:
+    try:
+        made = [n for n in ast.parse(code or "").body if isinstance(n, ast.FunctionDef)]
+    except (SyntaxError, ValueError):
+        return None
+    return (made[-1].name, [a.arg for a in made[-1].args.args]) if made else None
+
+
+def same_behaviour(a: Column, b: Column) -> Column:
+    """Whether two functions return the same on inputs drawn by the first one's parameter names, where both return.
+
+    Null if it cannot be told: different arity, code that does not run, fewer than five inputs on which both return.
+    """
+
+    @F.pandas_udf("boolean")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        signs = [(_signature(x), _signature(y)) for x, y in zip(a, b, strict=True)]
+        asked = [i for i, (x, y) in enumerate(signs) if x and y and len(x[1]) == len(y[1])]
+        jobs = []
+        for i in asked:
+            calls = _probes(signs[i][0][1], PROBES)
+            jobs += [(code.iloc[i], [f"{sign[0]}({c})" for c in calls]) for code, sign in ((a, signs[i][0]), (b, signs[i][1]))]
+        found, out = run_expressions(jobs), [None] * len(signs)
+        for k, i in enumerate(asked):
+            both = [(x[0], y[0]) for x, y in zip(found[2 * k][2], found[2 * k + 1][2], strict=False) if not x[1] and not y[1]]
+            out[i] = all(x == y for x, y in both) if len(both) >= COMMON else None
+        return pd.Series(out, dtype="boolean")
+
+    return run.asNondeterministic()(a, b)
+
+
+#: What a bug makes of an operator.
+SWAPS = {ast.Add: ast.Sub, ast.Sub: ast.Add, ast.Mult: ast.Add, ast.FloorDiv: ast.Mult, ast.Lt: ast.LtE, ast.LtE: ast.Lt, ast.Gt: ast.GtE, ast.GtE: ast.Gt, ast.Eq: ast.NotEq, ast.NotEq: ast.Eq, ast.And: ast.Or, ast.Or: ast.And}
+
+
+def _bugs(code: str | None) -> list[dict]:
+    try:
+        good = ast.unparse(ast.parse(code or ""))
+    except (SyntaxError, ValueError):
+        return []
+    size, found = sum(1 for _ in ast.walk(ast.parse(good))), []
+    for k in range(size):
+        tree = ast.parse(good)
+        node = next(n for i, n in enumerate(ast.walk(tree)) if i == k)
+        if isinstance(node, ast.BinOp | ast.BoolOp) and type(node.op) in SWAPS:
+            node.op = SWAPS[type(node.op)]()
+        elif isinstance(node, ast.Compare) and type(node.ops[0]) in SWAPS:
+            node.ops[0] = SWAPS[type(node.ops[0])]()
+        elif isinstance(node, ast.Constant) and type(node.value) is int:
+            node.value += 1
+        else:
+            continue
+        bad = ast.unparse(tree)
+        changed = [i for i, (x, y) in enumerate(zip(good.splitlines(), bad.splitlines(), strict=False)) if x != y]
+        if len(changed) == 1:
+            found.append({"line": changed[0] + 1, "good": good.splitlines()[changed[0]].strip(), "bad": bad.splitlines()[changed[0]].strip(), "code": bad})
+    return found
+
+
+def injected_bugs(code: Column) -> Column:
+    """Every copy of the code with one operator or whole number changed: line, good, bad, code. Code that does not parse has none."""
+
+    @F.pandas_udf("array<struct<line:int,good:string,bad:string,code:string>>")
+    def run(code: pd.Series) -> pd.Series:
+        return code.map(lambda c: _bugs(c) if isinstance(c, str) else [])
+
+    return run(code)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.behaviour import diagnosed, injected_bugs, same_behaviour
 from ..operators.commands import command_risk
+from ..operators.hygiene import failure_category
 from ..operators.sandbox import code_shape, extracted_functions, passes
 
 SOURCES = (
@@ -45,12 +47,36 @@ def udf_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.filter("id <> 1").join(held, "shape").select("id", "item")
 
 
+def udf_diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each assertion gives, and the category of an answer that fails; every answer should define ``half``."""
+    seen = _sources(spark).withColumn("d", diagnosed(F.col("code"), F.col("tests")))
+    nothing = F.lit(None).cast("string")
+    category = failure_category(F.lit("half"), F.col("code"), F.col("d.error"), F.col("d.defined"), nothing, F.col("d.asserts"), nothing, F.lit(False))
+    first = F.get("d.asserts", 0)
+    return seen.select("id", F.col("d.error.kind").alias("error"), first["ok"].alias("ok"), first["expected"].alias("expected"), first["actual"].alias("actual"), category.alias("category"))
+
+
+def udf_same_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first function against all of them."""
+    first = _sources(spark).filter("id = 1").select(F.col("code").alias("one"))
+    return _sources(spark).filter("id <> 5").crossJoin(F.broadcast(first)).select("id", same_behaviour(F.col("one"), F.col("code")).alias("same"))
+
+
+def udf_bugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every one-place bug of the sources that their tests tell from the right code."""
+    bugs = _sources(spark).filter("id IN (1, 2, 3)").select("id", "tests", F.inline(injected_bugs(F.col("code"))))
+    return bugs.select("id", "line", "good", "bad", passes(F.col("code"), F.col("tests")).alias("passed"))
+
+
 def command_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for level in COMMANDS.values() for c in level], "command string").select("command", command_risk(F.col("command")).alias("level"))
 
 
-QUERIES = {f.__name__: f for f in (udf_run_tests, udf_skeleton, udf_extract_functions, udf_leaks, command_levels)}
+QUERIES = {f.__name__: f for f in (udf_run_tests, udf_skeleton, udf_extract_functions, udf_leaks, udf_diagnose, udf_same_behaviour, udf_bugs, command_levels)}
 ORACLE_SQL = {
+    "udf_diagnose": "SELECT * FROM (VALUES (1, NULL, true, '6', '6', 'instruction_following'), (2, NULL, true, '0', '0', 'instruction_following'), (3, NULL, false, '2', '1', 'reasoning'), (4, 'SyntaxError', NULL, NULL, NULL, 'formatting'), (5, 'Timeout', NULL, NULL, NULL, 'coding')) t(id, error, ok, expected, actual, category)",
+    "udf_same_behaviour": "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, NULL)) t(id, same)",
+    "udf_bugs": "SELECT * FROM (VALUES (1, 2, 'return x * 2', 'return x + 2', false), (1, 2, 'return x * 2', 'return x * 3', false), (2, 3, 'return value * 2', 'return value + 2', false), (2, 3, 'return value * 2', 'return value * 3', true), (3, 2, 'return x // 3', 'return x * 3', false), (3, 2, 'return x // 3', 'return x // 4', false)) t(id, line, good, bad, passed)",
     "udf_run_tests": "SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, false)) t(id, passed)",
     "udf_leaks": "SELECT 2 AS id, 1 AS item",
     "command_levels": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{level}')" for level, some in COMMANDS.items() for c in some) + ") t(command, level)",
