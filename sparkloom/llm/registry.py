@@ -1,5 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
+from .alignment import op12_alignment
 from .ann import op1_ann
 from .langid import op8_langid
 from .merkle import OP6_SQL, op6_merkle
@@ -12,5 +13,5 @@ from .secrets import op3_secrets
 from .sharding import op7_sharding
 from .suffixes import op5_suffixes
 
-QUERIES = {"op2_passages": op2_passages, "op5_suffixes": op5_suffixes, "op4_neardup": op4_neardup, "op1_ann": op1_ann, "op8_langid": op8_langid, "op9_packing": op9_packing, "op3_secrets": op3_secrets, "op6_merkle": op6_merkle, "op7_sharding": op7_sharding, "op10_mixing": op10_mixing, "op11_morton": op11_morton}
+QUERIES = {"op2_passages": op2_passages, "op5_suffixes": op5_suffixes, "op4_neardup": op4_neardup, "op1_ann": op1_ann, "op8_langid": op8_langid, "op9_packing": op9_packing, "op3_secrets": op3_secrets, "op6_merkle": op6_merkle, "op7_sharding": op7_sharding, "op10_mixing": op10_mixing, "op11_morton": op11_morton, "op12_alignment": op12_alignment}
 ORACLE_SQL = {"op6_merkle": OP6_SQL, "op10_mixing": OP10_SQL, "op11_morton": OP11_SQL}
