@@ -30,8 +30,9 @@ def lines(text: Column) -> Column:
 
 def mean_line_length(text: Column) -> Column:
     """Mean characters of a line, as lines() splits them, by counting line breaks: no array of lines is made."""
-    body = F.regexp_replace(text, r"\r?\n$", "")
-    return F.length(F.regexp_replace(body, r"\r?\n", "")) / (F.regexp_count(body, F.lit(r"\n")) + 1)
+    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    wide = (F.length(text) - F.length(F.replace(text, F.lit("\r\n"), F.lit("")))) / 2
+    return (F.length(text) - ends - wide) / (ends + 1 - text.endswith("\n").cast("int"))
 
 
 def without_license(text: Column) -> Column:
@@ -47,6 +48,11 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + CHUNK), F.lit(0))
 
 
+def chunk_count(text: Column) -> Column:
+    """How many chunks() a text has; none are made."""
+    return F.regexp_count(text, F.lit("(?U)" + CHUNK))
+
+
 def chat(prompt: Column, response: Column) -> Column:
     return F.concat(F.lit("<|user|>\n"), trimmed(prompt), F.lit("\n<|end|>\n<|assistant|>\n"), F.coalesce(F.concat(trimmed(response), F.lit("\n<|end|>")), F.lit("")))
 

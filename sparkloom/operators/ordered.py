@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 10
-
+from .scratch import written
 
 def running_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Adds the total of ``value`` over all rows of smaller ``order`` (a whole number, unique).
+    """Adds the total of ``value`` over all rows of smaller ``order`` (unique, of any type that sorts).
 
-    Rows meet in blocks of neighbouring ordinals; only one total per block meets in one task.
+    Rows are dealt by ranges of the order that hold about as many rows each, however sparse its values are. Only a total
+    for each range reaches the driver. The ranges are written, so that a repeated task deals them alike.
     """
-    df = df.withColumn("__block", F.shiftright(F.col(order).cast("long"), BLOCK_BITS))
-    totals = df.groupBy("__block").agg(F.sum(value).alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select("__block", before.alias("__before"))
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(totals, "__block").withColumn(name, (inside + F.col("__before")).cast("long")).drop("__block", "__before")
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id()))
+    before, total = [], 0
+    for part, own in sorted(placed.groupBy("__range").agg(F.coalesce(F.sum(value), F.lit(0)).alias("n")).collect()):
+        before.append((part, total))
+        total += own
+    starts = spark.createDataFrame(before or [(0, 0)], "__range int, __before long")
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(starts), "__range").withColumn(name, (inside + F.col("__before")).cast("long")).drop("__range", "__before")
 
 
 def within_budget(df: DataFrame, order: str, value: str, budget: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import LICENSE, chunks, glob_pattern, lines, mean_line_length, without_license
+from ..functions.text import LICENSE, chunk_count, chunks, glob_pattern, lines, mean_line_length, without_license
 from ..operators.bpe import decoded, encoded, train_merges
 from ..operators.dedup import keep_first
 from ..sources.tables import table
@@ -35,7 +35,7 @@ def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(chunks(F.col("text"))).cast("long").alias("n_chunks"))
+    return table(spark, sf_dir, "documents").select("doc_id", chunk_count(F.col("text")).cast("long").alias("n_chunks"))
 
 
 def bpe_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform, uniform_sql
-from ..functions.text import chunks
+from ..functions.text import chunk_count
 from ..operators.draws import smallest_draws
 from ..operators.ordered import running_before, top_per_group, within_budget
 from ..sources.tables import table
@@ -16,7 +16,7 @@ SEED, BUDGET = 7, 500_000
 
 
 def tokens_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = table(spark, sf_dir, "documents").select("source", F.size(chunks(F.col("text"))).alias("n")).groupBy("source").agg(F.count(F.lit(1)).alias("examples"), F.sum("n").cast("long").alias("tokens"))
+    per = table(spark, sf_dir, "documents").select("source", chunk_count(F.col("text")).alias("n")).groupBy("source").agg(F.count(F.lit(1)).alias("examples"), F.sum("n").cast("long").alias("tokens"))
     return per.withColumn("token_share", F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), 4))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mean_line_length, without_license
 from ..operators.dedup import keep_first
+from .lines import numbered_lines
 
 # Extensions of code files, folders that are never entered, and the largest file that is read.
 CODE_EXTENSIONS = (
@@ -30,7 +31,7 @@ def source_files(spark: SparkSession, folder: str, extensions: Iterable[str] = C
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     at = F.instr("path", folder.rstrip("/") + "/")
     relative = F.substring("path", at + len(folder.rstrip("/")) + 1, 1 << 20)
-    kept = files.filter(F.col("path").rlike(rf"\.({_quoted(extensions)})$")).withColumn("relative", relative)
+    kept = files.filter(F.col("path").rlike(rf"(?i)\.({_quoted(extensions)})$")).withColumn("relative", relative)
     return kept.filter(~F.col("relative").rlike(rf"(^|/)({_quoted(skip)})/")).select("path", "relative", "length", "content")
 
 
@@ -40,22 +41,16 @@ def fnmatch_pattern(glob: str) -> str:
 
 
 def read_code(spark: SparkSession, folder: str, exclude: Iterable[str] = (), extensions: Iterable[str] = CODE_EXTENSIONS) -> DataFrame:
-    """path, text: excluded, huge, binary, blank and minified files left out, licence headers stripped, the first path of equal texts kept."""
+    """path, text: excluded, huge, binary, blank and minified files left out, licence headers stripped, bytes that are no UTF-8 replaced by U+FFFD, the first path of equal texts kept."""
     files = source_files(spark, folder, extensions).filter(F.col("length") <= MAX_FILE_BYTES)
     for glob in exclude:
         files = files.filter(~F.col("path").rlike(fnmatch_pattern(glob)))
     files = files.filter(~F.contains(F.substring("content", 1, 4096), F.lit(b"\0")))
-    text = without_license(F.regexp_replace(F.decode("content", "UTF-8"), "\r\n", "\n"))
+    text = without_license(F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n", "\n"))
     files = files.select("path", text.alias("text")).filter(F.col("text").rlike(r"\S") & (mean_line_length(F.col("text")) <= 200))
     return keep_first(files.withColumn("digest", F.sha1("text")), ["digest"], "path").select("path", "text")
 
 
-def numbered_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
-    """path, line (from 1), content. A file is one row before its lines are told apart, so files are expected to be of moderate size."""
-    files = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return files.select("path", F.posexplode(F.split("value", "\r?\n", -1)).alias("line", "content")).withColumn("line", F.col("line") + 1)
-
-
 def read_examples(spark: SparkSession, folder: str, fields: tuple[str, ...] = ("prompt", "response"), pattern: str = "*.jsonl") -> DataFrame:
     """path, line and the fields of JSON lines; blank lines are skipped, and one that is not such an object stops the job and names path:line."""
     lines = numbered_lines(spark, folder, pattern).filter(F.col("content").rlike(r"\S"))
