@@ -24,6 +24,7 @@ A long text is worked on a million characters at a time; a single word is held w
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import sys
@@ -33,6 +34,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -45,8 +47,8 @@ from .common import bounded_batches, materialised, shared_folder, table
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 ID_BITS = 20
-#: Characters of a text, keys and remembered chunks (and their characters) that a task holds at a time.
-SEGMENT, GATHERED, CHUNKS, CHUNK_CHARS = 1 << 20, 4_000_000, 400_000, 1 << 24
+#: Characters of a text, keys and remembered chunks (and their characters) that a task holds at a time; characters of new chunks that are encoded in one call.
+SEGMENT, GATHERED, CHUNKS, CHUNK_CHARS, TOGETHER = 1 << 20, 4_000_000, 600_000, 1 << 24, 1 << 16
 BOUNDARY = re.compile(r"(?<=\S)(?=[ \n]\S)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -114,13 +116,15 @@ class Chunks:
         self.first, self.second = Tokenizer.from_file(first), SentencePieceProcessor(model_file=second)
         self.first.encode_special_tokens = True
         alphabet, vocabulary = self._alphabet(), self.first.get_vocab()
+        unused = [b for b in range(256) if b not in alphabet.values()]  # bytes of no text
+        alphabet |= dict(zip(sorted(t for t in vocabulary if len(t) == 1 and t not in alphabet), unused, strict=False))
         self.first_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.first_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.second_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.lengths = tuple([len(x) for x in side] for side in (self.first_bytes, self.second_bytes))
-        self.sizes = tuple(np.array(x, dtype=np.int64) for x in self.lengths)
+        self.sizes = tuple(np.array([len(x) for x in side], dtype=np.int64) for side in (self.first_bytes, self.second_bytes))
+        self.quick = self._by_rank(first)
         # ids as text before another one of their side, and at the end of it
         self.marked = [np.array([[f"{i}{mark}" for i in range(len(side))] for mark in marks], dtype=object) for side, marks in ((self.first_bytes, ",|"), (self.second_bytes, ",;"))]
         self.spell = True
@@ -136,6 +140,18 @@ class Chunks:
         seen = [*range(0x800), 0x800, *range(0x1000, 0x10000, 0x1000), *range(0x10000, 0x110000, 0x10000)]
         return {letter: byte for c in map(chr, seen) if not "\ud800" <= c <= "\udfff" for letter, byte in zip(spell.pre_tokenize_str(c)[0][0], c.encode(), strict=True)}
 
+    def _by_rank(self, path: str):
+        """The first tokenizer's ids of plain text from the second library, whose merging is faster; None unless its ids are the order of its merges."""
+        import public_tokenizers
+        from tiktoken import Encoding
+
+        model = json.loads(Path(path).read_text())["model"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if model["type"] != "BPE" or any(model["vocab"].get("".join(m)) != 256 + k for k, m in enumerate(pairs)):
+            return None
+        ranks = {spelled: i for i, spelled in enumerate(self.first_bytes[: 256 + len(pairs)])}
+        return Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(pairs) and all(bytes([b]) in ranks for b in range(256)) else None
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.groups: list[str] = []
@@ -173,16 +189,15 @@ class Chunks:
 
     def _learn(self, names: list[str]) -> None:
         new = [c if c[0] in " \n" else f" {c}" for c in names]
-        a = [e.ids for e in self.first.encode_batch_fast(new, add_special_tokens=False)]
-        # the second tokenizer sets a space before its text; where the chunk has none of its own, that space is dropped
-        b = [ids if c[0] == " " else ids[1:] if ids[:1] == [self.space] else [] for c, ids in zip(new, self.second.encode([c[1:] if c[0] == " " else c for c in new], num_threads=1), strict=True)]
-        raw = [c.encode() for c in new]
-        size = np.array([len(r) for r in raw])
-        right = self._right(a, b, raw)
-        if not right.all():
-            a, b = ([x if ok else [] for x, ok in zip(side, right.tolist(), strict=True)] for side in (a, b))
-        tokens = [np.array([len(x) for x in side]) for side in (a, b)]
-        ids = [np.fromiter(chain.from_iterable(side), dtype=np.int64, count=n.sum()) for side, n in zip((a, b), tokens, strict=True)]
+        parts, at, chars = [], 0, 0
+        for i, c in enumerate(new):
+            chars += len(c)
+            if chars >= TOGETHER or i == len(new) - 1:
+                parts.append(self._together(new[at : i + 1]) or self._apart(new[at : i + 1]))
+                at, chars = i + 1, 0
+        ids = [np.concatenate([p[side] for p in parts]) for side in (0, 1)]
+        tokens = [np.concatenate([p[2 + side] for p in parts]) for side in (0, 1)]
+        right, size = (np.concatenate([p[k] for p in parts]) for k in (4, 5))
         ends = [np.cumsum(length[i]) for length, i in zip(self.sizes, ids, strict=True)]
         borders = distinct(np.concatenate(ends))
         place = [np.searchsorted(e, borders) for e in ends]
@@ -198,14 +213,33 @@ class Chunks:
         self.known.update(zip(names, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.chars += sum(map(len, names))
 
-    def _right(self, a: list[list[int]], b: list[list[int]], raw: list[bytes]) -> np.ndarray:
-        """Whether the tokens of both sides spell each chunk."""
-        sides = ((a, self.first_bytes), (b, self.second_bytes))
-        # all at once, unless one is wrong
-        whole, bounds = b"".join(raw), [len(r) for r in raw]
-        if all(b"".join([spelled[i] for x in side for i in x]) == whole and [sum(map(length.__getitem__, x)) for x in side] == bounds for (side, spelled), length in zip(sides, self.lengths, strict=True)):
-            return np.ones(len(raw), dtype=bool)
-        return np.array([all(b"".join([spelled[i] for i in side[k]]) == r for side, spelled in sides) for k, r in enumerate(raw)], dtype=bool)
+    def _together(self, new: list[str]) -> tuple | None:
+        """(ids of either side, tokens of each chunk on either side, whether they spell the chunk, its bytes) from one call, if the chunks' borders are token ends of both sides and all bytes are right."""
+        text = "".join(new)
+        raw, size = text.encode(), np.array([len(c.encode()) for c in new])
+        a = self.quick.encode_ordinary(text) if self.quick else self.first.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        b = self.second.encode(text[1:] if text[0] == " " else text)
+        if text[0] != " ":
+            b = b[1:] if b[:1] == [self.space] else []
+        stops, tokens = np.cumsum(size), []
+        for side, spelled, length in ((a, self.first_bytes, self.sizes[0]), (b, self.second_bytes, self.sizes[1])):
+            ends = np.cumsum(length[np.array(side, dtype=np.int64)])
+            at = np.searchsorted(ends, stops)
+            if not len(ends) or ends[-1] != len(raw) or (ends[at] != stops).any() or b"".join([spelled[i] for i in side]) != raw:
+                return None
+            tokens.append(np.diff(at + 1, prepend=0))
+        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), *tokens, np.ones(len(new), dtype=bool), size
+
+    def _apart(self, new: list[str]) -> tuple:
+        """The same from a call for each chunk; those whose tokens do not spell them have none."""
+        a = [e.ids for e in self.first.encode_batch_fast(new, add_special_tokens=False)]
+        # the second tokenizer sets a space before its text; where the chunk has none of its own, that space is dropped
+        b = [ids if c[0] == " " else ids[1:] if ids[:1] == [self.space] else [] for c, ids in zip(new, self.second.encode([c[1:] if c[0] == " " else c for c in new], num_threads=1), strict=True)]
+        raw = [c.encode() for c in new]
+        right = [b"".join([self.first_bytes[i] for i in x]) == r == b"".join([self.second_bytes[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)]
+        a, b = ([x if ok else [] for x, ok in zip(side, right, strict=True)] for side in (a, b))
+        ids = [np.array([i for x in side for i in x], dtype=np.int64) for side in (a, b)]
+        return *ids, *[np.array([len(x) for x in side]) for side in (a, b)], np.array(right, dtype=bool), np.array([len(r) for r in raw])
 
     def _spelled(self, ids: list[np.ndarray], tokens: list[np.ndarray], ends_a: np.ndarray, ends_b: np.ndarray) -> Iterator[str]:
         """The groups of each chunk: ids of the first side, ``|``, ids of the second; groups parted by ``;``. ``ends``: how many tokens each group ends after."""
