@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.rng import uniform, uniform_sql
-from ..operators.contamination import contains_items
+from ..operators.contamination import contains_items, gram_hashes, small, word_hashes
+from ..operators.scratch import written
 from ..sources.tables import table
 
 SEEDS, RESAMPLES = 5, 200
@@ -79,6 +80,8 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select(F.round(F.element_at("v", int(RESAMPLES * 0.025) + 1), 4).alias("low"), F.round(F.element_at("v", RESAMPLES - int(RESAMPLES * 0.025)), 4).alias("high"))
 
 
+#: Grams of items that are broadcast at most.
+BROADCAST_GRAMS = 2_000_000
 KEY = ("p_brand", "p_type", "p_size")
 
 
@@ -100,12 +103,13 @@ def minimal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_by_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each benchmark item the document with the largest Jaccard similarity of four-word grams, among those with half to ten times its grams; ties to the smaller id."""
-    gram = lambda: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " "))))
-    grams = lambda t, key: table(spark, sf_dir, t).select(key, F.split(F.lower("text"), r"\s+").alias("w")).select(key, gram().alias("gram"))
-    items, docs = grams("benchmark", "item_id"), grams("documents", "doc_id")
-    size = lambda rows, key, name: rows.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    shared = items.join(docs, "gram").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
-    both = shared.join(size(items, "item_id", "n"), "item_id").join(size(docs, "doc_id", "m"), "doc_id").filter("m between n / 2 and 10 * n")
+    def grams(name: str, key: str, size: str) -> DataFrame:
+        """A row for each distinct run of four words, as a number, with the count of them all."""
+        hashed = table(spark, sf_dir, name).select(key, word_hashes(F.split(F.lower("text"), r"\s+")).alias("h"))
+        return hashed.select(key, F.array_distinct(gram_hashes(F.col("h"), 4)).alias("g")).select(key, F.size("g").cast("long").alias(size), F.explode("g").alias("gram"))
+
+    items = small(written(grams("benchmark", "item_id", "n")), BROADCAST_GRAMS)
+    both = grams("documents", "doc_id", "m").join(items, "gram").filter("m between n / 2 and 10 * n").groupBy("item_id", "doc_id", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
     scored = both.withColumn("similarity", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 9))
     best = scored.groupBy("item_id").agg(F.max(F.struct("similarity", (-F.col("doc_id")).alias("m"), "shared")).alias("b"))
     return best.select("item_id", (-F.col("b.m")).alias("doc_id"), F.col("b.shared").alias("shared"), F.col("b.similarity").alias("similarity"))
