@@ -124,7 +124,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float, block: int =
     """The labels of each text's words with the largest sum of scores less ``switch`` for each change."""
     n, kinds = scores.shape
     if not n:
-        return np.zeros(0, dtype=np.int8)
+        return np.zeros(0, dtype=np.int16)
     counts = np.diff(offsets)
     blocks = -(-counts // block)
     first = np.concatenate([[0], np.cumsum(blocks)])
@@ -137,7 +137,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float, block: int =
     for t in range(block):
         step = padded[:, t, None, :] + np.maximum(step, step.max(axis=2, keepdims=True) - switch)
     order = np.argsort(-blocks, kind="stable")
-    value, came = np.zeros((len(counts), kinds)), np.zeros((len(padded), kinds), dtype=np.int8)
+    value, came = np.zeros((len(counts), kinds)), np.zeros((len(padded), kinds), dtype=np.int16)
     live = np.searchsorted(-blocks[order], -np.arange(blocks.max()), side="left")
     for k, m in enumerate(live):
         docs = order[:m]
@@ -152,13 +152,13 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float, block: int =
         enter[at] = state[docs] = came[at, state[docs]]
     run = np.full((len(padded), kinds), -np.inf)
     run[np.arange(len(padded)), enter] = 0
-    source = np.empty((block, len(padded), kinds), dtype=np.int8)
+    source = np.empty((block, len(padded), kinds), dtype=np.int16)
     for t in range(block):
         best = run.argmax(axis=1)[:, None]
         jump = np.take_along_axis(run, best, axis=1) - switch
         source[t] = np.where(run >= jump, np.arange(kinds), best)
         run = padded[:, t] + np.maximum(run, jump)
-    labels = np.empty((len(padded), block), dtype=np.int8)
+    labels = np.empty((len(padded), block), dtype=np.int16)
     for t in range(block - 1, -1, -1):
         labels[:, t] = leave
         leave = source[t, np.arange(len(padded)), leave]
@@ -183,7 +183,7 @@ def held_out():
 
 
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Counts over about ``per_language`` rows of each language, chosen by a hash of the id.
+    """Counts over about ``per_language`` rows of each language, chosen by a hash of the id (of the text, without one).
 
     What comes to the driver is one table of counts per language, of fixed size.
     """
@@ -192,7 +192,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
         return None
     languages = sorted(sizes)
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, per_language / sizes[lang])))])
-    chosen = train.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
+    chosen = train.filter(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(8)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).select("lang", "text")
     shapes = (("t", 1 << TRIGRAM_BITS), ("w", 1 << WORD_BITS), ("s", len(SCRIPTS)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,8 @@
 
 Tokens are aggregated per source, targets are water-filled under a repetition
 cap, and a document is emitted floor(rate) times plus once more with the
-probability that the fraction gives, drawn by a hash of seed and id.
+probability that the fraction gives, drawn by a hash of seed and id (or text,
+where there is no id).
 
 Edge cases: a null text has size 0; a null source is a source of its own, last
 in order; an empty table gives an empty result; repeated rows of one id draw
@@ -53,6 +54,11 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     return per.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
+def draw(seed: int) -> Column:
+    """A row's draw: by its id, or by its text if it has none. Rows without an id that have the same text share one."""
+    return unit_hash(seed, F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))
+
+
 def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, rate, copies.
 
@@ -60,11 +66,11 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED)
     source: Spark broadcasts it where its measured size is under the session's
     threshold, and otherwise sorts and splits the hot source.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(seed).alias("__draw"))
     per = source_targets(sized, weights, cap).withColumnRenamed("source", "__source")
     joined = sized.join(per, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    extra = (unit_hash(seed, F.col("doc_id")) < F.col("rate") - F.floor("rate")).cast("long")
-    return joined.withColumn("copies", F.when(F.col("rate") > 0, F.floor("rate") + extra).otherwise(F.lit(0)).cast("long"))
+    extra = (F.col("__draw") < F.col("rate") - F.floor("rate")).cast("long")
+    return joined.withColumn("copies", F.when(F.col("rate") > 0, F.floor("rate") + extra).otherwise(F.lit(0)).cast("long")).drop("__draw")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
@@ -76,7 +82,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> D
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
     per = materialised(source_targets(sized, weights, cap).select(F.col("source").alias("__source"), F.col("rate").alias("__rate")))
     joined = docs.join(per, F.col("source").eqNullSafe(F.col("__source")))
-    extra = (unit_hash(seed, F.col("doc_id")) < F.col("__rate") - F.floor("__rate")).cast("int")
+    extra = (draw(seed) < F.col("__rate") - F.floor("__rate")).cast("int")
     copies = F.floor("__rate").cast("int") + extra
     return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -88,7 +94,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(text), '') AS key, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)]::DOUBLE AS weight, (source_size * 3)::DOUBLE AS cap FROM per),
 r AS (SELECT *, cap / weight AS ratio, (sum(source_size) OVER ())::DOUBLE AS total FROM w),
@@ -99,6 +105,6 @@ g AS (SELECT *, sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER () AS full_caps,
 t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE (total - full_caps) / free_weight * weight END AS target FROM g),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0 END AS rate FROM t)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
-  CAST(size * CASE WHEN rate > 0 THEN floor(rate) + CASE WHEN (('0x' || substr(md5('20:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS taken
+  CAST(size * CASE WHEN rate > 0 THEN floor(rate) + CASE WHEN (('0x' || substr(md5('20:' || key), 1, 8))::BIGINT + 0.5) / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS taken
 FROM sized JOIN u ON sized.source IS NOT DISTINCT FROM u.source
 """

@@ -393,3 +393,21 @@ def test_neighbours_equal_brute_force(spark):
         s = unit @ unit[q]
         s[q] = -9
         assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] == np.argsort(-s)[:5].tolist()
+
+
+def test_viterbi_of_two_hundred_kinds():
+    rng = np.random.default_rng(3)
+    scores = rng.normal(size=(90, 200)) * 4
+    labels = viterbi(scores, np.array([0, 60, 90]), 3.0)
+    assert labels.min() >= 0 and labels.max() > 127
+    for a, b in ((0, 60), (60, 90)):
+        value = np.zeros(200)
+        for s in scores[a:b]:
+            value = s + np.maximum(value, value.max() - 3.0)
+        assert scores[np.arange(a, b), labels[a:b]].sum() - 3.0 * (np.diff(labels[a:b]) != 0).sum() == pytest.approx(value.max())
+
+
+def test_mixing_reaches_targets_without_ids(spark):
+    rows = [(None if i % 3 == 0 else i, f"{'word ' * (1 + i % 5)}{i}", "abc"[i % 11 % 3]) for i in range(9000)]
+    per = mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert len(per) == 3 and all(0.96 < r["taken"] / r["target"] < 1.04 for r in per)
