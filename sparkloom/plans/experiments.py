@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import as_task, chunks, docstring_summary, extract_code, middle_cut, source_group
-from ..operators.commands import SENSITIVE
-from ..operators.hygiene import failure_category, last_answers, parsed_tests, removal_reasons, transitions
+from ..functions.text import SENSITIVE, as_task, chunks, docstring_summary, extract_code, middle_cut, source_group
+from ..operators.hygiene import last_answers, removal_reasons, transitions
 from ..sources.files import line_window
 from ..sources.tables import table
 from .chat import _PAIRS, pairs
@@ -91,13 +90,6 @@ def arm_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("seed", "lang", "source", F.row_number().over(Window.partitionBy("seed").orderBy("lang", "source")).cast("long").alias("place"))
 
 
-def argument_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Argument lists of functions of up to two parameters from pools of values, capped per parameter."""
-    pools = spark.range(1, 3).select(F.col("id").alias("arity"), F.slice(F.expr("array(0, 1, -1, 5, 12)"), 1, 4).alias("pool"))
-    first = pools.select("arity", "pool", F.explode("pool").alias("x"))
-    return first.select("arity", "x", F.explode(F.when(F.col("arity") == 2, F.col("pool")).otherwise(F.array(F.lit(None).cast("int")))).alias("y"))
-
-
 def weighted_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of value times weight over sum of weights, overall and by kind."""
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("long").alias("w"), F.round(F.col("l_discount") * 100).cast("long").alias("v"))
@@ -120,33 +112,6 @@ def byte_denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.octet_length("text")).cast("long").alias("n_bytes"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
-_FAILED = (
-    # id, name, code, error kind, defined, buggy, copied, first failed assert's error kind and message, factual, category
-    (1, "f", " ", None, [], None, None, None, None, False, "formatting"), (2, "f", "def f(", "SyntaxError", [], None, None, None, None, False, "formatting"),
-    (3, "f", "x", "Timeout", [], None, None, None, None, False, "coding"), (4, "f", "x", "NameError", [], None, None, None, None, False, "hallucination"),
-    (5, "f", "x", "ValueError", [], None, None, None, None, False, "coding"), (6, "f", "def g(): 1", None, ["g"], None, None, None, None, False, "instruction_following"),
-    (7, "f", "x = 1", None, [], None, None, None, None, False, "formatting"), (8, "f", "def f(): 1 ", None, ["f"], "def f(): 1", None, None, None, False, "instruction_following"),
-    (9, "f", "def f(): 2", None, ["f"], None, "g", None, None, False, "instruction_following"), (10, "f", "def f(): 2", None, ["f"], None, "f", "TypeError", "f() missing 1 required argument", False, "instruction_following"),
-    (11, "f", "def f(): 2", None, ["f"], None, None, "AttributeError", "no x", False, "hallucination"), (12, "f", "def f(): 2", None, ["f"], None, None, "KeyError", "k", False, "coding"),
-    (13, "f", "def f(): 2", None, ["f"], None, None, None, None, True, "factual"), (14, "f", "def f(): 2", None, ["f"], None, None, None, None, False, "reasoning"),
-)
-
-
-def failure_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One failed answer of every kind."""
-    schema = "id int, name string, code string, kind string, defined array<string>, buggy string, copied string, fail_kind string, fail_msg string, factual boolean"
-    rows = spark.createDataFrame([r[:-1] for r in _FAILED], schema)
-    error = F.when(F.col("kind").isNotNull(), F.struct("kind", F.lit("").alias("msg")))
-    failed = F.when(F.col("fail_kind").isNotNull(), F.struct(F.col("fail_kind").alias("kind"), F.col("fail_msg").alias("msg")))
-    rows = rows.withColumns({"error": error, "asserts": F.array(F.struct(F.lit(False).alias("ok"), failed.alias("error")))})
-    return rows.select("id", failure_category(*[F.col(c) for c in ("name", "code", "error", "defined", "buggy", "asserts", "copied", "factual")]).alias("category"))
-
-
-def assert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tests = "assert f(1) == 2\nassert f(2) is None\nassert abs(f(3) - 0.5) < 1e-9\nassert not f(4)\nassert f(5)\nassert (\nprint(1)"
-    return spark.createDataFrame([(1, tests)], "id int, tests string").select("id", F.inline(parsed_tests(F.col("tests")))).select("id", "call", "expected", "kind")
-
-
 def answer_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code of answers: fenced, left open, from the first def on, or all."""
     forms = F.array(F.concat(F.lit("Sure:\n```python\n"), "text", F.lit("\n```\nDone.")), F.concat(F.lit("```\n"), "text"), F.concat(F.lit("So def f: "), "text"), F.col("text"))
@@ -195,7 +160,7 @@ def tag_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("lang is not null").groupBy(source_group(tag).alias("tag_group")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (removed_examples, answers_of_items, answer_diagnoses, run_transitions, regression_rate, tagged_bodies, seen_by_position, exposure_per_behaviour, answer_tokens, arm_plan, argument_pools, weighted_means, body_frequency, usage_totals, byte_denominators, failure_categories, assert_lines, answer_code, summaries, cut_middles, read_windows, sensitive_names, batch_checks, held_out_absent, tag_groups)}
+QUERIES = {f.__name__: f for f in (removed_examples, answers_of_items, answer_diagnoses, run_transitions, regression_rate, tagged_bodies, seen_by_position, exposure_per_behaviour, answer_tokens, arm_plan, weighted_means, body_frequency, usage_totals, byte_denominators, answer_code, summaries, cut_middles, read_windows, sensitive_names, batch_checks, held_out_absent, tag_groups)}
 _RUN = "(SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) = 'F' AS pass, arg_max(o_orderpriority, o_orderkey) AS category FROM orders WHERE o_orderkey % 2 = {p} GROUP BY 1)"
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 ORACLE_SQL = {
@@ -210,13 +175,10 @@ ORACLE_SQL = {
     "exposure_per_behaviour": "WITH s AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1), v AS (SELECT list_sort(list(n)) AS v FROM s) SELECT len(v)::BIGINT AS behaviours, round(list_sum(v)::DOUBLE / len(v), 2) AS mean, v[1] AS least, v[len(v) // 2 + 1] AS median, v[len(v)] AS most, len(list_filter(v, lambda x: x = 0))::BIGINT AS never_seen FROM v",
     "answer_tokens": _PAIRS + f", t AS (SELECT CASE WHEN length(prompt) > 60 THEN 'long' ELSE 'short' END AS kind, len(regexp_extract_all(prompt, '{_CHUNK_SQL}')) AS p, len(regexp_extract_all(response, '{_CHUNK_SQL}')) AS r FROM pairs), g AS (SELECT kind, count(*) AS examples, sum(p + r)::BIGINT AS tokens, sum(CASE WHEN p > 0 THEN r ELSE greatest(r - 1, 0) END)::BIGINT AS answer_tokens FROM t GROUP BY 1) SELECT *, round(tokens / (sum(tokens) OVER ())::DOUBLE, 4) AS token_share FROM g",
     "arm_plan": f"SELECT seed, lang, source, row_number() OVER (PARTITION BY seed ORDER BY lang, source) AS place FROM (SELECT range AS seed FROM range({SEEDS})), (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)",
-    "argument_pools": "WITH p(v) AS (VALUES (0), (1), (-1), (5)) SELECT 1::BIGINT AS arity, v AS x, NULL::INT AS y FROM p UNION ALL SELECT 2, a.v, b.v FROM p a, p b",
     "weighted_means": "SELECT coalesce(l_returnflag, '*') AS kind, round(sum(round(l_discount * 100)::BIGINT * l_quantity::BIGINT)::DOUBLE / sum(l_quantity::BIGINT), 6) AS mean, sum(l_quantity::BIGINT)::BIGINT AS weight FROM lineitem GROUP BY ROLLUP (l_returnflag)",
     "body_frequency": f"SELECT md5(text) AS body, round(count(*) / {SEEDS}.0::DOUBLE, 2) AS per_seed FROM documents GROUP BY 1 HAVING count(*) > 1",
     "usage_totals": "SELECT event_type, count(*) AS steps, sum((props->>'$.k')::BIGINT)::BIGINT AS units FROM events GROUP BY 1",
     "byte_denominators": "SELECT lang, sum(strlen(text))::BIGINT AS n_bytes, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1",
-    "failure_categories": "SELECT * FROM (VALUES " + ", ".join(f"({r[0]}, '{r[-1]}')" for r in _FAILED) + ") t(id, category)",
-    "assert_lines": "SELECT * FROM (VALUES (1, 'f(1)', '2', 'eq'), (1, 'f(2)', 'None', 'is'), (1, 'f(3)', '0.5', 'approx'), (1, 'f(4)', 'False', 'truth'), (1, 'f(5)', 'True', 'truth')) t(id, call, expected, kind)",
     "answer_code": f"SELECT conv_id, turn, md5({_STRIP.format('CASE conv_id % 4 WHEN 2 THEN ' + repr('def f: ') + ' || text ELSE text END')}) AS code_md5 FROM conversations WHERE role = 'assistant'",
     "summaries": f"""WITH f AS (SELECT doc_id, {_STRIP.format("regexp_replace(string_split(" + _STRIP.format('text') + ", chr(10) || chr(10))[1], '\\s*\\n\\s*', ' ', 'g')")} AS s FROM documents),
         k AS (SELECT doc_id, s, split_part(s, ' ', 1) AS verb, regexp_extract(s, '(?s)^[^ ]* (.*)$', 1) AS rest FROM f WHERE length(s) BETWEEN 15 AND 300 AND NOT regexp_matches(s, '^(>>>|:|@)') AND NOT regexp_matches(s, '(?i)deprecated|todo|xxx|internal use|undocumented')),

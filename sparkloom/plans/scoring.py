@@ -50,11 +50,6 @@ def gained_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("gained", "lost", "same")
 
 
-def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.range(0, 15).select(F.col("id").alias("gained")).crossJoin(spark.range(0, 15).select(F.col("id").alias("lost")))
-    return pairs.select("gained", "lost", F.round(stats.sign_test(F.col("gained"), F.col("lost")), 6).alias("p"))
-
-
 def pass_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").cast("long").alias("c"))
     return rows.filter("n >= 4").select("source", "n", "c", F.round(stats.pass_at_k(F.col("n"), F.col("c"), 4), 6).alias("pass_at_4"))
@@ -115,7 +110,7 @@ def nearest_by_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("item_id", (-F.col("b.m")).alias("doc_id"), F.col("b.shared").alias("shared"), F.col("b.similarity").alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (benchmark_contamination, clean_view_scores, paired_compare, gained_lost, sign_test, pass_at_k, auc_rank, bootstrap_ci, minimal_pairs, nearest_by_jaccard)}
+QUERIES = {f.__name__: f for f in (benchmark_contamination, clean_view_scores, paired_compare, gained_lost, pass_at_k, auc_rank, bootstrap_ci, minimal_pairs, nearest_by_jaccard)}
 _T95 = "CASE WHEN n - 1 BETWEEN 1 AND 10 THEN ([" + ", ".join(map(str, stats.T95)) + "])[n - 1] ELSE 1.8 END"
 _T975 = "CASE WHEN n - 1 BETWEEN 1 AND 10 THEN ([" + ", ".join(map(str, stats.T975)) + "])[n - 1] ELSE 2.0 END"
 _GRAMS = "SELECT {k}, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' ')))) AS gram FROM (SELECT {k}, string_split_regex(lower(text), '\\s+') AS w FROM {t})"
@@ -127,7 +122,6 @@ ORACLE_SQL = {
         q AS (SELECT *, ({_T95})::DOUBLE * s / sqrt(n) AS margin, ({_T975})::DOUBLE * s / sqrt(n) AS wide FROM p)
         SELECT lang, n, round(m, 4) AS mean, round(s, 4) AS sd, round(margin, 4) AS margin, round(m - wide, 4) AS low, round(m + wide, 4) AS high, CASE WHEN n < 2 THEN 'inconclusive' WHEN m < -margin OR (s = 0 AND m < 0) THEN 'rejected' WHEN m > margin AND m > 0 THEN 'retained' ELSE 'inconclusive' END AS verdict FROM q""",
     "gained_lost": "SELECT count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS gained, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS lost, count(*) FILTER (WHERE quality = 1 - toxic) AS same FROM labels",
-    "sign_test": "WITH g AS (SELECT range AS gained FROM range(15)), l AS (SELECT range AS lost FROM range(15)) SELECT gained, lost, round(CASE WHEN gained + lost = 0 THEN 1 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(gained, lost) + 1), lambda i: factorial((gained + lost)::INT)::DOUBLE / factorial(i::INT)::DOUBLE / factorial((gained + lost - i)::INT)::DOUBLE)) / pow(2, gained + lost)) END, 6)::DOUBLE AS p FROM g, l",
     "pass_at_k": "WITH r AS (SELECT source, count(*) AS n, sum(quality)::BIGINT AS c FROM labels JOIN documents USING (doc_id) GROUP BY source) SELECT source, n, c, round(CASE WHEN n - c < 4 THEN 1.0 ELSE 1 - ((n - c)::DOUBLE / n) * ((n - c - 1)::DOUBLE / (n - 1)) * ((n - c - 2)::DOUBLE / (n - 2)) * ((n - c - 3)::DOUBLE / (n - 3)) END, 6)::DOUBLE AS pass_at_4 FROM r WHERE n >= 4",
     "auc_rank": "WITH r AS (SELECT quality, n_chars FROM labels JOIN documents USING (doc_id)) SELECT (SELECT count(*) FROM r WHERE quality = 1) AS positives, (SELECT count(*) FROM r WHERE quality = 0) AS negatives, round(avg(CASE WHEN a.n_chars > b.n_chars THEN 1.0 WHEN a.n_chars = b.n_chars THEN 0.5 ELSE 0.0 END)::DOUBLE, 6) AS auc FROM r a, r b WHERE a.quality = 1 AND b.quality = 0",
     "bootstrap_ci": f"""WITH per AS (SELECT doc_id % 50 AS unit, sum(n_chars) AS s, count(*) AS c FROM labels JOIN documents USING (doc_id) GROUP BY 1), u AS (SELECT row_number() OVER (ORDER BY unit) AS i, s, c, count(*) OVER () AS m FROM per),

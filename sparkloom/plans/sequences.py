@@ -57,10 +57,10 @@ def metrics_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warm-up over 100 steps, level to 800, cosine decay to a tenth at 1,000."""
-    step = F.col("id")
-    decay = 0.1 + 0.9 * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * (step - 800) / 200))
-    return spark.range(1000).select(step.alias("step"), F.round(F.when(step < 100, (step + 1) / 100).when(step < 800, F.lit(1.0)).otherwise(decay), 8).alias("lr"))
+    """The rate at the step of each document: warm-up over 100 steps, level to 800, cosine decay to a tenth at 1,000, then level."""
+    step = F.col("doc_id")
+    decay = 0.1 + 0.9 * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * (F.least(step, F.lit(1000)) - 800) / 200))
+    return table(spark, sf_dir, "documents").select(step.alias("step"), F.round(F.when(step < 100, (step + 1) / 100).when(step < 800, F.lit(1.0)).otherwise(decay), 8).alias("lr"))
 
 
 QUERIES = {f.__name__: f for f in (run_lengths, stuck_runs, running_max, records, longest_rise, best_run_sum, metrics_tail, lr_schedule)}
@@ -74,5 +74,5 @@ ORACLE_SQL = {
     "longest_rise": f"WITH c AS (SELECT *, CASE WHEN value > lag(value) OVER {_W} THEN 0 ELSE 1 END AS c FROM events), i AS (SELECT user_id, sum(c) OVER {_W} AS island FROM c), n AS (SELECT user_id, island, count(*) AS n FROM i GROUP BY 1, 2) SELECT user_id, max(n) AS longest_rise FROM n GROUP BY 1",
     "best_run_sum": f"WITH c AS (SELECT *, round((value - coalesce(lag(value) OVER {_W}, 0)) * 100)::BIGINT AS d FROM events), s AS (SELECT *, sum(d) OVER {_W} AS s FROM c), b AS (SELECT user_id, s - least(0, coalesce(min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best FROM s) SELECT user_id, max(best)::BIGINT AS best_run_sum FROM b GROUP BY 1",
     "metrics_tail": "WITH t AS (SELECT event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 10), m AS (SELECT event_type, round(avg(value), 6) AS tail_mean FROM t GROUP BY 1), e AS (SELECT event_type, arg_min(value, (ts, event_id)) AS first, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY 1) SELECT event_type, tail_mean, first, last FROM m JOIN e USING (event_type)",
-    "lr_schedule": "SELECT range AS step, round(CASE WHEN range < 100 THEN (range + 1)::DOUBLE / 100 WHEN range < 800 THEN 1.0::DOUBLE ELSE 0.1 + 0.9 * 0.5 * (1 + cos(3.141592653589793 * (range - 800) / 200)) END, 8)::DOUBLE AS lr FROM range(1000)",
+    "lr_schedule": "SELECT doc_id AS step, round(CASE WHEN doc_id < 100 THEN (doc_id + 1)::DOUBLE / 100 WHEN doc_id < 800 THEN 1.0::DOUBLE ELSE 0.1 + 0.9 * 0.5 * (1 + cos(3.141592653589793 * (least(doc_id, 1000) - 800) / 200)) END, 8)::DOUBLE AS lr FROM documents",
 }
