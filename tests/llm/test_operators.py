@@ -410,4 +410,5 @@ def test_viterbi_of_two_hundred_kinds():
 def test_mixing_reaches_targets_without_ids(spark):
     rows = [(None if i % 3 == 0 else i, f"{'word ' * (1 + i % 5)}{i}", "abc"[i % 11 % 3]) for i in range(9000)]
     per = mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
-    assert len(per) == 3 and all(0.96 < r["taken"] / r["target"] < 1.04 for r in per)
+    # four standard deviations of independent draws are under a tenth of the smallest target; one draw for all rows without an id misses by a fifth
+    assert len(per) == 3 and all(0.9 < r["taken"] / r["target"] < 1.1 for r in per)
