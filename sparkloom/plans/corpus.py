@@ -60,10 +60,12 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hash of the table's content, whatever its order: hashes of blocks of ids, then a hash of those in order."""
-    rows = table(spark, sf_dir, "documents").select(F.shiftright("doc_id", 10).alias("block"), "doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), 256).alias("h"))
-    blocks = rows.groupBy("block").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
-    return blocks.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), "\n"), 256).alias("content_sha256"))
+    """One hash of the table's content, whatever its order: hashes of blocks of ids, of blocks of those blocks, then of all of these in order; no group holds more than 1,024 hashes but the last, with one for each 2**20 ids."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), 256).alias("h"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "h"))), lambda x: x["h"]), "\n"), 256).alias("h")
+    for _ in range(2):
+        rows = rows.groupBy(F.shiftright("place", 10).alias("block")).agg(joined).withColumnRenamed("block", "place")
+    return rows.agg(joined.alias("content_sha256"))
 
 
 def regex_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +124,8 @@ ORACLE_SQL = {
     "chunk_counts": f"SELECT doc_id, len(regexp_extract_all(text, '{_CHUNK_SQL}'))::BIGINT AS n_chunks FROM documents",
     "bpe_pair_counts": f"""WITH c AS (SELECT unnest(regexp_extract_all(text, '{_CHUNK_SQL}')) AS chunk FROM documents), g AS (SELECT chunk, count(*) AS n FROM c WHERE length(chunk) > 1 GROUP BY chunk),
         p AS (SELECT n, chunk, unnest(range(1, length(chunk))) AS i FROM g) SELECT substr(chunk, i, 2) AS pair, sum(n)::BIGINT AS n FROM p GROUP BY 1 ORDER BY n DESC, pair LIMIT 100""",
-    "content_fingerprint": """WITH b AS (SELECT doc_id >> 10 AS block, sha256(string_agg(sha256(doc_id || '|' || text), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1)
-        SELECT sha256(string_agg(h, chr(10) ORDER BY block)) AS content_sha256 FROM b""",
+    "content_fingerprint": """WITH b AS (SELECT doc_id >> 10 AS block, sha256(string_agg(sha256(doc_id || '|' || text), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1),
+        c AS (SELECT block >> 10 AS block, sha256(string_agg(h, chr(10) ORDER BY block)) AS h FROM b GROUP BY block >> 10) SELECT sha256(string_agg(h, chr(10) ORDER BY block)) AS content_sha256 FROM c""",
     "regex_search": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), p AS (SELECT doc_id, unnest(a) AS content, unnest(range(1, len(a) + 1)) AS line FROM l)
         SELECT doc_id, line::BIGINT AS line, left(content, 200) AS content FROM p WHERE regexp_matches(content, '(?i)license')""",
     "glob_filter": "SELECT page_id, url FROM pages WHERE url LIKE '%1%'",
