@@ -17,6 +17,9 @@ cannot reach the threshold, so the links between different texts are complete, u
    tile holds at most ``TILE`` sets of either side, and larger groups are dealt over a grid of tiles. A pair goes on if
    the sizes, the places of the token and the bitmaps allow it: bits of one set that the other lacks are n-grams that it
    lacks, so bit counts bound the common ones from above. Bitmaps have about twice as many bits as n-grams, within bounds.
+   In tokens of more than ``LARGE`` sets each set outside the largest component first sends the one pair of a tile that
+   its bitmaps find nearest: what is near merges by a row for each set, however many pairs of a large group of near
+   copies would reach the threshold. All pairs that are still of different components go on then.
 6. Pairs that go on are verified by intersecting sorted arrays.
 
 Edge cases: a null text and one without words have the empty set, which links with nothing, not even its copies; fewer
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, bounded_batches, in_bitmap, likely, materialised, table
 from .graph import components, extended
-from .neardup import distinct_texts, packed_block, unpacked_block
+from .neardup import packed_block, unpacked_block
 from .textkit import chunks, mix64, powers, prefix_hashes
 
 WIDTH, PERCENT = 5, 80
@@ -49,6 +52,9 @@ RANGE_CHARS, GATHERED = 1 << 25, 1_000_000
 #: Sets of either side of a tile, pairs of a tile that are tested at once, bits of a bitmap (powers of two).
 TILE, PAIRS, BITS = 1000, 500_000, (6, 13)
 
+#: Tokens of more sets than this send nearest pairs first.
+LARGE = 64
+
 _SPACE = np.ones(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -248,14 +254,14 @@ def folded(bits: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these bitmaps (rows) and sizes can have enough in common."""
+def spare(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """How many more n-grams than the threshold asks for sets of these bitmaps (rows) and sizes can have in common; under 0 they are not near."""
     lacks_a, lacks_b = (np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((a, b), (b, a)))
-    return np.minimum(n_a - lacks_a, n_b - lacks_b) >= least_common(n_a, n_b, percent)
+    return np.minimum(n_a - lacks_a, n_b - lacks_b) - least_common(n_a, n_b, percent)
 
 
-def tile_pairs(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of whole tiles, a of the left side and b of the right one, that go on. ``rows`` are in order of tile and side."""
+def tile_pairs(rows: pd.DataFrame, percent: int, nearest: bool = False) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of whole tiles, one of the left side and one of the right, that go on; with ``nearest`` only the best of each left set. ``rows`` are in order of tile and side."""
     tile = np.cumsum(np.append(0, (rows["tile"].to_numpy()[1:] != rows["tile"].to_numpy()[:-1]).astype(np.int64)))
     side, v, n, place, label = (rows[c].to_numpy() for c in ("side", "v", "n", "place", "label"))
     lone, band, bits = rows["lone"].to_numpy(), rows["band"].to_numpy(), rows["bits"].tolist()
@@ -270,24 +276,33 @@ def tile_pairs(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
         y = right[np.repeat(start[at:end], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
         at = end
         # a pair of two left sets comes once; of sets that visit a band, one must be at home there
-        stay = (label[x] != label[y]) & ((lone[y] == 0) | (v[x] < v[y]))
+        stay = (label[x] != label[y]) & ((lone[y] == 0) | (v[x] < v[y]) | nearest)
         x, y = x[stay], y[stay]
         need = least_common(n[x], n[y], percent)
         stay = (np.minimum(n[x], n[y]) * 100 >= percent * np.maximum(n[x], n[y])) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= need)
         stay &= np.maximum(n[x], n[y]) >= np.left_shift(1, band[x])
-        x, y = x[stay], y[stay]
+        x, y, found = x[stay], y[stay], []
         for k in np.unique(band[x]).tolist():
             i = np.flatnonzero(band[x] == k)
             used, back = np.unique(np.concatenate([x[i], y[i]]), return_inverse=True)
             maps = folded([bits[u] for u in used.tolist()], bitmap_bits(1 << k, 0))
             for part in np.array_split(np.arange(len(i)), 1 + len(i) // 50_000):
                 p, q = back[part], back[len(i) + part]
-                ok = may_reach(maps[p], maps[q], n[x[i[part]]], n[y[i[part]]], percent)
-                yield pd.DataFrame({"a": np.minimum(v[x[i[part[ok]]]], v[y[i[part[ok]]]]), "b": np.maximum(v[x[i[part[ok]]]], v[y[i[part[ok]]]])})
-
-
-def tiles(members: DataFrame, facts: DataFrame, labels: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) of sets of one token, in different components, that sizes, places and bitmaps let through. ``members``: token, v, place; ``facts``: v, n, bits."""
+                over = spare(maps[p], maps[q], n[x[i[part]]], n[y[i[part]]], percent)
+                ok = over >= 0
+                found.append((x[i[part[ok]]], y[i[part[ok]]], over[ok]))
+        if not found:
+            continue
+        x, y, over = (np.concatenate(c) for c in zip(*found, strict=True))
+        if nearest and len(x):
+            order = np.lexsort((v[y], -over, x))
+            first = order[np.append(True, x[order][1:] != x[order][:-1])]
+            x, y = x[first], y[first]
+        yield pd.DataFrame({"a": np.minimum(v[x], v[y]), "b": np.maximum(v[x], v[y])})
+
+
+def tiles(members: DataFrame, facts: DataFrame, labels: DataFrame, percent: int, tile: int = TILE, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b) of sets of one token, in different components, that sizes, places and bitmaps let through; with ``nearest`` the best of each set and tile. ``members``: token, v, place; ``facts``: v, n, bits."""
     label = F.coalesce("label", F.col("v")).alias("label")
     known = materialised(members.join(labels, "v", "left").select("token", "v", "place", label).join(facts.select("v", "n"), "v"))
     band = F.length(F.bin("n")) - 1
@@ -314,9 +329,9 @@ def tiles(members: DataFrame, facts: DataFrame, labels: DataFrame, percent: int,
             whole = int(np.searchsorted(rows["tile"].to_numpy(), rows["tile"].iloc[-1])) if len(rows) else 0
             held = rows.iloc[whole:].reset_index(drop=True)
             if whole:
-                yield from tile_pairs(rows.iloc[:whole], percent)
+                yield from tile_pairs(rows.iloc[:whole], percent, nearest)
         if held is not None and len(held):
-            yield from tile_pairs(held, percent)
+            yield from tile_pairs(held, percent, nearest)
 
     return rows.repartition("tile").sortWithinPartitions("tile", "side").mapInPandas(run, "a long, b long").distinct()
 
@@ -333,7 +348,7 @@ def allowed(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
             for w in np.unique(width).tolist():
                 i = np.flatnonzero(width == w)
                 a, b = (folded(batch[c].iloc[i].tolist(), 8 * w) for c in ("bits_a", "bits_b"))
-                ok[i] = may_reach(a, b, n_a[i], n_b[i], percent)
+                ok[i] = spare(a, b, n_a[i], n_b[i], percent) >= 0
             yield batch.loc[ok, ["a", "b"]]
 
     side = lambda x: facts.select(F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
@@ -377,31 +392,40 @@ def links(texts: DataFrame, size: int, percent: int = PERCENT, width: int = WIDT
     groups = materialised(same.groupBy("n", "x", "y").agg(F.min("token").alias("token"), F.min("hub").alias("hub")).select("token", "n", "hub"))
     members = materialised(members.join(groups, "token"))
     asked = materialised(members.filter("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct())
-    pairs, state = materialised(allowed(asked, facts, percent)), {}
 
     def check(pairs: DataFrame) -> DataFrame:
-        """Links among the pairs. N-grams are listed once for all texts of a token with two or more sets."""
-        if "lists" not in state:
-            wanted = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v"))
-            state["lists"] = materialised(sorted_lists(texts, wanted, levels, width))
-            state["listed"] = wanted
-        return verified(pairs, state["lists"], percent)
-
-    labels = components(check(pairs))
-    further = materialised(tiles(members.filter("n > 2").select("token", "v", "place"), facts, labels, percent, tile).join(asked, ["a", "b"], "left_anti"))
-    if not further.isEmpty():
-        state.clear()
-        found = materialised(check(further))
-        if not found.isEmpty():
-            labels = extended(labels, found)
+        wanted = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v"))
+        return materialised(verified(pairs, materialised(sorted_lists(texts, wanted, levels, width)), percent))
+
+    labels = components(check(materialised(allowed(asked, facts, percent))))
+
+    def further(least: int, nearest: bool) -> DataFrame:
+        own = members.filter(F.col("n") > least).select("token", "v", "place")
+        return materialised(tiles(own, facts, labels, percent, tile, nearest).join(asked, ["a", "b"], "left_anti"))
+
+    pairs = further(LARGE, True)
+    found = check(pairs)
+    if not found.isEmpty():
+        labels, asked = extended(labels, found), materialised(asked.unionByName(pairs))
+    pairs = further(2, False)
+    if not pairs.isEmpty():
+        found = check(pairs)
+        labels = labels if found.isEmpty() else extended(labels, found)
     return labels, rows.select("v", "n")
 
 
+def texts_once(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """v, text: each text once. Texts that may repeat are shuffled, once, and written; the others are read where they are. ``ids``: v of every text."""
+    several = materialised(ids.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("v"))
+    hashed = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("v"), "text")
+    return likely(hashed, several, "v", inverse=True).unionByName(materialised(likely(hashed, several, "v").groupBy("v").agg(F.first("text").alias("text"))))
+
+
 def joined_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the size of its set and the least id that links reach."""
     ids = materialised(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("v"), F.length("text").cast("long").alias("size"), F.col("text").isNull().alias("none")))
     size = ids.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()["size"]
-    texts = distinct_texts(docs, ids.filter("not none").select("doc_id", "v"))
+    texts = texts_once(docs, ids.filter("not none").select("v"))
     labels, sizes = links(texts, size, percent, width)
     first = ids.filter("not none").groupBy("v").agg(F.min("doc_id").alias("first")).join(sizes, "v").join(labels, "v", "left").select("v", "n", F.coalesce("label", "v").alias("label"), "first")
     first = materialised(first)
