@@ -1,12 +1,14 @@
-"""Repeated and failing calls in a stream: state and timers by (task, call).
+"""Repeated and failing calls in a stream: state and timers by (task, call), in shares of many keys.
 
-Rows may come late or out of order within the watermark's delay. A key keeps them until event time has passed them,
-which a timer tells; then they are taken in order. What is kept of the past is a small fixed state: failures since the
-last success, the last result and how often it came in a row, and whether the key was stopped.
+Rows may come late or out of order within the watermark's delay. A share keeps them until event time has passed them,
+which a timer tells; then they are taken in order. What is kept of the past is a small fixed state of each key: failures
+since the last success, the last result and how often it came in a row, and whether the key was stopped. State is read
+and written a share at a time, since each access is a message between Python and the state store.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -17,8 +19,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Failures or equal results after which a call is warned about, and stopped.
 WARN, STOP_FAILED, STOP_SAME = 2, 3, 4
-PENDING = "us long, ordinal long, failed boolean, content string"
-STREAK = "failures int, content string, times int, stopped boolean"
+#: Shares of the keys; a share's waiting rows and streaks are in the memory of one worker at a time.
+SHARES = 1 << 9
+# JSON lists of [task, call, us, ordinal, failed, content] and of [task, call, failures, content, times, stopped]: a row of state costs as much as a message.
+PACKED = "rows string"
 RESULT = "task long, call string, ordinal long, failures int, times int, warned boolean, stops boolean"
 
 
@@ -36,20 +40,20 @@ def advanced(streak: tuple, failed: bool, content: str | None) -> tuple[tuple, t
 
 
 class RepeatedCalls(StatefulProcessor):
-    """Keeps rows until the watermark has passed them, and folds them in the order of time and ordinal."""
+    """Keeps rows until the watermark has passed them, and folds those of a key in the order of time and ordinal."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", PENDING)
-        self.streak = handle.getValueState("streak", STREAK)
+        self.pending = handle.getListState("pending", PACKED)
+        self.streaks = handle.getValueState("streaks", PACKED)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         earliest = None
         for frame in rows:
-            new = [(int(r.us), int(r.ordinal), bool(r.failed), None if pd.isna(r.content) else str(r.content)) for r in frame.itertuples(index=False)]
+            new = [(int(r.task), None if pd.isna(r.call) else str(r.call), int(r.us), int(r.ordinal), bool(r.failed), None if pd.isna(r.content) else str(r.content)) for r in frame.itertuples(index=False)]
             if new:
-                self.pending.appendList(new)
-                first = min(n[0] for n in new) // 1000
+                self.pending.appendValue((json.dumps(new),))
+                first = min(n[2] for n in new) // 1000
                 earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
             self.handle.registerTimer(earliest)
@@ -57,19 +61,19 @@ class RepeatedCalls(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.pending.get(), key=lambda r: (r[0], r[1])) if self.pending.exists() else []
-        due, rest = [r for r in waiting if r[0] // 1000 <= passed], [r for r in waiting if r[0] // 1000 > passed]
+        waiting = [r for (packed,) in self.pending.get() for r in json.loads(packed)] if self.pending.exists() else []
+        due, rest = [r for r in waiting if r[2] // 1000 <= passed], [r for r in waiting if r[2] // 1000 > passed]
         if not due:
             return
-        state, out = tuple(self.streak.get()) if self.streak.exists() else (0, None, 0, False), []
-        for _, ordinal, failed, content in due:
-            state, shown = advanced(state, failed, content)
-            out.append((key[0], key[1], ordinal, *shown))
-        self.streak.update(state)
+        streaks, out = {(r[0], r[1]): tuple(r[2:]) for r in json.loads(self.streaks.get()[0])} if self.streaks.exists() else {}, []
+        for task, call, _, ordinal, failed, content in sorted(due, key=lambda r: r[2:4]):
+            streaks[task, call], shown = advanced(streaks.get((task, call), (0, None, 0, False)), failed, content)
+            out.append((task, call, ordinal, *shown))
+        self.streaks.update((json.dumps([(*k, *streak) for k, streak in streaks.items()]),))
         self.pending.clear()
         if rest:
-            self.pending.put(rest)
-            self.handle.registerTimer(rest[0][0] // 1000)
+            self.pending.appendValue((json.dumps(rest),))
+            self.handle.registerTimer(min(r[2] for r in rest) // 1000)
         yield pd.DataFrame(out, columns=["task", "call", "ordinal", "failures", "times", "warned", "stops"])
 
     def close(self) -> None:
@@ -83,8 +87,8 @@ def repeated_calls(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """
     # the filter looks at the time as well, so that it stays behind the watermark: rows without a task move event time on
     timed = F.when(F.col("ts").isNotNull(), F.col("task")).isNotNull()
-    keyed = stream.withWatermark("ts", delay).filter(timed).withColumn("us", F.unix_micros("ts"))
-    return keyed.groupBy("task", "call").transformWithStateInPandas(statefulProcessor=RepeatedCalls(), outputStructType=RESULT, outputMode="Append", timeMode="EventTime")
+    keyed = stream.withWatermark("ts", delay).filter(timed).withColumn("us", F.unix_micros("ts")).withColumn("share", F.pmod(F.xxhash64("task", "call"), F.lit(SHARES)))
+    return keyed.groupBy("share").transformWithStateInPandas(statefulProcessor=RepeatedCalls(), outputStructType=RESULT, outputMode="Append", timeMode="EventTime")
 
 
 def repeated_calls_batch(calls: DataFrame) -> DataFrame:

@@ -99,3 +99,23 @@ def test_no_stream_query_uses_a_memory_sink():
 
     assert not [p for p in Path(here.__path__[0]).glob("*.py") if '"memory"' in p.read_text()]
     assert F is not None
+
+
+def test_state_is_kept_by_share_not_by_key(spark, tmp_path):
+    """More keys than shares in two runs of one query: a state store that is asked key by key takes hours on a large table."""
+    from datetime import datetime, timedelta
+
+    from sparkloom.streaming.calls import SHARES, repeated_calls
+    from sparkloom.streaming.counters import appended
+    from sparkloom.streaming.metrics import keyed_state
+
+    n = 2 * SHARES
+    part = lambda k: [(i, "a", datetime(2024, 1, 1 + 3 * k) + timedelta(seconds=i % 7), 2 * i + k, k == 0, None) for i in range(n)]
+    flush = [(None, "", datetime(2030, 1, 1), None, None, None)]
+    feed = str(tmp_path / "feed")
+    with keyed_state(spark):
+        for rows in (part(0), part(1), flush):
+            spark.createDataFrame(rows, COLUMNS).write.mode("append").parquet(feed)
+            appended(repeated_calls(spark.readStream.schema(COLUMNS).parquet(feed)), str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert rows_of(found) == rows_of(repeated_calls_batch(spark.createDataFrame(part(0) + part(1), COLUMNS)))
