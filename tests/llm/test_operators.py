@@ -173,6 +173,36 @@ def test_near_ones_between_the_ends_of_a_bucket_are_linked(spark):
     assert {(r["v"], r["label"]) for r in labels.collect()} == {(1, 1), (2, 1)}
 
 
+def test_text_near_a_member_of_an_ends_class_but_not_the_end_is_linked(spark):
+    """Sets 0 to 3 meet in one bucket; 1 is near the end 0, and 2 is near 1 alone."""
+    rng = np.random.default_rng(0)
+    fresh = lambda n: rng.integers(1, 1 << 55, n).astype(np.uint64)
+    one = fresh(100)
+    sets = [one, np.append(one[:90], fresh(5)), np.append(one[:80], fresh(1)), fresh(100)]
+    sets[2] = np.append(sets[1][10:], fresh(4))
+    assert jaccard(sets[0], sets[1]) >= 0.8 and jaccard(sets[1], sets[2]) >= 0.8 > jaccard(sets[0], sets[2])
+    labels = linked(spark.createDataFrame([(i, [5] * BANDS) for i in range(4)], "v long, bands array<long>"), near_sets(sets))
+    assert {(r["v"], r["label"]) for r in labels.collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_bound_of_a_tile_keeps_every_near_pair(spark):
+    """Templates at 0.74 with pairs at 0.86: pairs_left gives all near pairs of two classes, once."""
+    from sparkloom.llm.neardup import folded, pairs_left, tiles
+
+    rng = np.random.default_rng(3)
+    fresh = lambda: rng.integers(1, 1 << 55, 300).astype(np.uint64)
+    template, sets = fresh(), []
+    for _ in range(20):
+        one = np.where(rng.random(300) < 0.92, template, fresh())
+        sets += [np.unique(one), np.unique(np.where(rng.random(300) < 2 * 0.86 / 1.86, one, fresh()))]
+    lists = spark.createDataFrame([(i, float(len(s)), s.astype(np.int64).tolist(), [1.0] * len(s)) for i, s in enumerate(sets)], "v long, total double, shingles array<long>, weights array<double>")
+    sketched = spark.createDataFrame([(i, [5] * BANDS) for i in range(40)], "v long, bands array<long>")
+    labels = spark.createDataFrame([(0, 0)], "v long, label long")
+    found = [tuple(r) for r in pairs_left(tiles(sketched, labels).join(folded(lists), "v"), 0.8).collect()]
+    near = {(i, j) for i in range(40) for j in range(i + 1, 40) if jaccard(sets[i], sets[j]) >= 0.8}
+    assert len(found) == len(set(found)) and near <= set(found) and near
+
+
 def test_passages_hold_the_shared_one(docs):
     found = {r["doc_id"] for r in near_passages(docs).collect()}
     assert {3, 4, 5, 6} <= found and 7 not in found
