@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .textkit import _WORD, CHUNK, chunks, mix64, prefix_hashes, powers
 
 TRIGRAM_BITS, WORD_BITS = 16, 17
@@ -210,7 +210,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
             some = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": lang, "kind": kind, "bucket": some, "n": counts[some]})
 
-    sums = chosen.mapInPandas(count, "lang string, kind string, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = chosen.mapInPandas(lean(count), "lang string, kind string, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
     tables = {kind: np.zeros((len(languages), size)) for kind, size in shapes}
     at = {lang: i for i, lang in enumerate(languages)}
     for kind, part in sums.groupby("kind"):
@@ -248,7 +248,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], switch: float
                     found.append([{"first": a, "stop": b, "lang": model.languages[x]} for a, b, x in spans(part)])
             yield batch[keep].assign(lang_pred=best, score=score, spans=found)
 
-    return docs.select(*[F.col(f"`{c}`") for c in read]).mapInPandas(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", " + PREDICTED)
+    return docs.select(*[F.col(f"`{c}`") for c in read]).mapInPandas(lean(run), ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", " + PREDICTED)
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -33,7 +31,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import remembered, table
 
 WINDOW = 4096
 END_ID = 2
@@ -112,12 +110,12 @@ class WordCache:
 
 
 def worker_cache(path: str) -> WordCache:
-    """The worker process's cache of a tokenizer file: it outlives the task."""
-    holder = sys.modules.setdefault("_word_caches", types.ModuleType("_word_caches"))
-    if path not in holder.__dict__:
+    """The worker process's cache of a tokenizer file: it outlives the task, until one that is lean."""
+    caches = remembered("words")
+    if path not in caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        holder.__dict__[path] = WordCache(path)
-    return holder.__dict__[path]
+        caches[path] = WordCache(path)
+    return caches[path]
 
 
 class SumOfSquares:

@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sparkloom.llm.common import remembered
 from sparkloom.llm.langid import fit, predict, training_rows
 from sparkloom.llm.merkle import fingerprints
 from sparkloom.llm.mixing import mix, mix_plan
 from sparkloom.llm.neardup import classes
-from sparkloom.llm.packing import pack_documents
+from sparkloom.llm.packing import pack_documents, tokenizer_path, worker_cache
 from sparkloom.llm.passages import near_passages
 from sparkloom.llm.secrets import scan
 from sparkloom.llm.sharding import shard_documents
@@ -66,6 +67,19 @@ def test_near_dedup_stage_keeps_one_of_each_group_and_rows_without_an_id(spark,
     assert left.count(4) == 1
 
 
+@pytest.mark.parametrize("name", ["language_id", "near_dedup"])
+def test_tasks_make_room_of_what_other_stages_left_in_their_worker(docs, spark, name, monkeypatch):
+    """A worker lives on, and so does packing's tokenizer with up to 700,000 words: near_dedup came on top of it."""
+    tasks, plain = [], type(docs).mapInPandas
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, f, *a, **b: tasks.append(f) or plain(self, f, *a, **b))
+    STAGES[name](spark, docs, "").count()
+    assert len(tasks) > 1
+    for f in tasks:
+        worker_cache(tokenizer_path()).encode("some words")
+        list(f(iter(())))
+        assert not [k for k in remembered("words") if "json" in k]
+
+
 def test_secret_stage_keeps_every_row_and_masks(spark, docs):
     out = STAGES["secret_scan"](spark, docs, "")
     assert out.count() == docs.count()
