@@ -112,6 +112,19 @@ def test_classes_equal_all_pairs(spark):
     assert found == near_classes(*map(list, zip(*rows, strict=True)))
 
 
+def test_edited_copies_stay_in_a_large_group(spark):
+    """60 copies at 0.86 as sets; common to all, what they share weighs so little that by weight alone they are at 0.76."""
+    rng, base = np.random.default_rng(2), words(500, 200)
+    rows = [(0, base)] + [(1000 + i, words(600 + i, 200)) for i in range(100)]
+    for i in range(1, 61):
+        edited = base.split(" ")
+        for at in (30, 90, 150):
+            edited[at + int(rng.integers(0, 20))] = f"edit{i}of{at}"
+        rows.append((i, " ".join(edited)))
+    found = {r["doc_id"]: r["class_id"] for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: 0 if i < 1000 else i for i, _ in rows}
+
+
 def test_document_frequencies_are_exact(spark):
     texts = [words(i % 7, 40) + " " + words(i, 9) for i in range(60)]
     rows = spark.createDataFrame([(i, t, 1 + i % 3) for i, t in enumerate(texts)], "v long, text string, n long")
